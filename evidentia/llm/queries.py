@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, warc, wavelet
+from . import bpe, mixing, packing, quality, warc, wavelet
 
 QUERIES = {
     "op1_warc": warc.op1_warc_round_trip,
+    "op2_quality": quality.op2_quality_rules,
     "op3_wavelet": wavelet.op3_wavelet_tokens,
     "op4_packing": packing.op4_packed_sequences,
     "op6_bpe_counts": bpe.op6_token_counts,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality": quality.ORACLE,
+}
