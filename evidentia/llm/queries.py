@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, packing, quality, warc, wavelet
+from . import bpe, mixing, packing, pii, quality, warc, wavelet
 
 QUERIES = {
     "op1_warc": warc.op1_warc_round_trip,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_wavelet": wavelet.op3_wavelet_tokens,
     "op4_packing": packing.op4_packed_sequences,
     "op6_bpe_counts": bpe.op6_token_counts,
+    "op7_surrogates": pii.op7_surrogates,
     "op10_mixing": mixing.op10_mixing,
 }
 
