@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, packing, pii, quality, warc, wavelet
+from . import bpe, mixing, packing, pii, quality, topk, warc, wavelet
 
 QUERIES = {
     "op1_warc": warc.op1_warc_round_trip,
@@ -11,9 +11,11 @@ QUERIES = {
     "op4_packing": packing.op4_packed_sequences,
     "op6_bpe_counts": bpe.op6_token_counts,
     "op7_surrogates": pii.op7_surrogates,
+    "op8_top_k": topk.op8_top_k,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality": quality.ORACLE,
+    "op8_top_k": topk.ORACLE,
 }
