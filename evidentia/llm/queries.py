@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, packing, pii, quality, topk, warc, wavelet
+from . import bpe, mixing, neardup, packing, pii, quality, topk, warc, wavelet
 
 QUERIES = {
     "op1_warc": warc.op1_warc_round_trip,
     "op2_quality": quality.op2_quality_rules,
     "op3_wavelet": wavelet.op3_wavelet_tokens,
     "op4_packing": packing.op4_packed_sequences,
+    "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_bpe_counts": bpe.op6_token_counts,
     "op7_surrogates": pii.op7_surrogates,
     "op8_top_k": topk.op8_top_k,
