@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .encoding import slices
+from .encoding import chunked, slices, whole
 
 #: The byte-level pre-tokenizer's fixed pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -100,27 +100,31 @@ class TokenCounter:
         parts = self.special.split(text)
         return sum(map(self.plain, parts)) + len(parts) - 1
 
-    def count(self, text: str) -> int:
-        """Tokens of a whole text; a special string inside it is one token, as by the library's default."""
-        if len(self.words) > self.capacity:
-            self.words.clear()
-        if len(self.chunks) > self.capacity:
-            self.chunks.clear()
-        if _RUN(text):
-            return self._count(text)
-        first, *rest = text.split(" ")
-        chunks, total = self.chunks, self._count(first) if first else 0
-        for c in rest:
-            n = chunks.get(c)
-            if n is None:
-                n = self._count(" " + c)
-                if len(c) < 64:
-                    chunks[c] = n
-            total += n
-        return total
-
-
-_RUN = re.compile(r"\s \s").search
+    def _chunk(self, chunk: str) -> int:
+        n = self.chunks.get(chunk)
+        if n is None:
+            n = self._count(chunk)
+            if len(chunk) < 64:
+                self.chunks[chunk] = n
+        return n
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """Tokens of each whole text; a special string inside one is one token, as by the library's default."""
+        apart = {i: self._count(t) for i, t in enumerate(texts) if whole(t, "byte")}
+        names, codes, places = chunked(["" if i in apart else t for i, t in enumerate(texts)], "byte")
+        each = np.fromiter(map(self._chunk, names), np.int64, len(names))
+        ends = np.concatenate([[0], np.cumsum(each[codes])])[np.concatenate([[0], np.cumsum(places)])]
+        n = np.diff(ends)
+        for i, k in apart.items():
+            n[i] = k
+        for known in (self.words, self.chunks):
+            if len(known) > self.capacity:
+                # the oldest entries are the frequent ones
+                for c in list(known)[self.capacity // 2 :]:
+                    del known[c]
+        return n
+
+
 _COUNTERS: dict[str, TokenCounter] = {}
 
 
@@ -137,7 +141,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = 512, id_c
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                n = np.fromiter(map(counter.count, texts), np.int64, len(texts))
+                n = counter.counts(texts)
                 size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
