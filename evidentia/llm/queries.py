@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, neardup, packing, pii, quality, topk, warc, wavelet
+from . import bpe, mixing, neardup, packing, pii, quality, substring, topk, warc, wavelet
 
 QUERIES = {
     "op1_warc": warc.op1_warc_round_trip,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bpe_counts": bpe.op6_token_counts,
     "op7_surrogates": pii.op7_surrogates,
     "op8_top_k": topk.op8_top_k,
+    "op9_repeated_passages": substring.op9_repeated_passages,
     "op10_mixing": mixing.op10_mixing,
 }
 
