@@ -39,10 +39,10 @@ def build_shard(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     for bit in range(width - 1, -1, -1):
         on = ((level >> bit) & 1).astype(bool)
         bits = np.packbits(on, bitorder="little")
-        ones = np.add.reduceat(on, np.arange(0, n, BLOCK), dtype=np.int64) if n else np.zeros(0, np.int64)
+        ones = np.bitwise_count(np.pad(bits, (0, -len(bits) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
         sections += [pack(bits.tobytes()), pack(np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes())]
         zeros.append(int(n - on.sum()))
-        level = np.concatenate([level[~on], level[on]])
+        level = np.concatenate([level[np.flatnonzero(~on)], level[np.flatnonzero(on)]])
     head = json.dumps({"n": n, "width": width, "docs": len(doc_ids), "zeros": zeros, "sections": [len(s) for s in sections]}).encode()
     return MAGIC + len(head).to_bytes(4, "little") + head + b"".join(sections)
 
@@ -116,11 +116,12 @@ class WaveletShard:
 
     def decode(self) -> np.ndarray:
         """All ids: the stable partitions undone from the lowest plane up."""
-        level = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        level = np.zeros(self.n, kind)
         for k in range(self.width - 1, -1, -1):
-            on, out = self._plane(k), np.empty(self.n, np.uint32)
-            out[~on] = level[: self.zeros[k]]
-            out[on] = level[self.zeros[k] :] | np.uint32(1 << (self.width - 1 - k))
+            on, out = self._plane(k), np.empty(self.n, kind)
+            out[np.flatnonzero(~on)] = level[: self.zeros[k]]
+            out[np.flatnonzero(on)] = level[self.zeros[k] :] | kind(1 << (self.width - 1 - k))
             level = out
         return level
 
