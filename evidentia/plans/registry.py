@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import lexical_plans
+
+_GROUPS = [lexical_plans]
+QUERIES = {name: run for group in _GROUPS for name, run in group.QUERIES.items()}
+ORACLES = {name: sql for group in _GROUPS for name, sql in group.ORACLES.items()}
