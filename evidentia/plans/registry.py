@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lexical_plans
+from . import graph_plans, lexical_plans
 
-_GROUPS = [lexical_plans]
+_GROUPS = [lexical_plans, graph_plans]
 QUERIES = {name: run for group in _GROUPS for name, run in group.QUERIES.items()}
 ORACLES = {name: sql for group in _GROUPS for name, sql in group.ORACLES.items()}
