@@ -66,42 +66,44 @@ def statistics(v: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate(means + devs, 1)
 
 
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Pairwise integer inner products of equal rows of q and x; doubles while they are exact."""
-    if len(q) and float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2.0**53:
-        return np.einsum("ij,ij->i", q.astype(np.float64), x.astype(np.float64)).astype(np.int64)
-    return np.einsum("ij,ij->i", q, x)
+def kind_for(q: np.ndarray, x: np.ndarray):
+    """The fastest type in which every inner product of the blocks is exact."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
 
 
-def search_block(qid, q, floor, xid, x, k):
+def search_block(qid, q, floor, xid, x, k, dense: float = 0.05):
     """(query row, candidate row, score) of every candidate that can be among a query's k best of this block, given
-    that scores under `floor` can't be. Bounds are widened by a relative 1e-9 against rounding."""
-    qf, xf = q.astype(np.float64), x.astype(np.float64)
-    rows, cols = None, None
+    that scores under `floor` can't be.
+
+    Bounds are widened against rounding. While over the share `dense` of the pairs stays, a resolution is taken as
+    one matrix product; once less stays, the finer resolutions and the exact scores look at the pairs left. Where no
+    resolution gets under that share, the exact scores of the survivors come from one product too.
+    """
+    kind = kind_for(q, x)
+    near = np.ones((len(q), len(x)), bool)
+    rows = cols = None
     for length in levels(q.shape[1]):
-        a, b = statistics(qf, length), statistics(xf, length)
+        a, b = statistics(q.astype(np.float32), length), statistics(x.astype(np.float32), length)
+        slack = 1e-5 * float(np.sqrt((a * a).sum(1).max(initial=0) * (b * b).sum(1).max(initial=0))) + 1e-3
         if rows is None:
-            bound = a @ b.T
-            bound += np.abs(bound) * 1e-9 + 1e-6
-            rows, cols = np.nonzero(bound >= floor[:, None])
-        elif len(rows):
-            keep = np.zeros(len(rows), bool)
-            for at in range(0, len(rows), 1 << 18):
-                r, c = rows[at : at + (1 << 18)], cols[at : at + (1 << 18)]
-                bound = np.einsum("ij,ij->i", a[r], b[c])
-                keep[at : at + (1 << 18)] = bound + np.abs(bound) * 1e-9 + 1e-6 >= floor[r]
+            near &= a @ b.T >= (floor - slack).astype(np.float32)[:, None]
+            if np.count_nonzero(near) <= dense * near.size:
+                rows, cols = np.nonzero(near)
+        else:
+            keep = np.einsum("ij,ij->i", a[rows], b[cols]) >= floor[rows] - slack
             rows, cols = rows[keep], cols[keep]
     if rows is None:
-        rows, cols = np.nonzero(np.ones((len(q), len(x)), bool))
-    score = np.zeros(len(rows), np.int64)
-    for at in range(0, len(rows), 1 << 18):
-        score[at : at + (1 << 18)] = exact(q[rows[at : at + (1 << 18)]], x[cols[at : at + (1 << 18)]])
+        score = q.astype(kind) @ x.astype(kind).T
+        rows, cols = np.nonzero(near & (score >= floor[:, None]))
+        score = score[rows, cols].astype(np.int64)
+    else:
+        score = np.einsum("ij,ij->i", q[rows].astype(kind), x[cols].astype(kind)).astype(np.int64)
     keep = (score >= floor[rows]) & (qid[rows] != xid[cols])
     rows, cols, score = rows[keep], cols[keep], score[keep]
     order = np.lexsort((xid[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
-    first = np.searchsorted(rows, rows, side="left")
-    best = np.arange(len(rows)) - first < k
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
     return rows[best], cols[best], score[best]
 
 
