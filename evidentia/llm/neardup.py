@@ -134,7 +134,14 @@ def signature_edges(ids: np.ndarray, sig: np.ndarray, second: int, pieces: int,
         tensor = eq[:, :, second:].reshape(n, n, pieces, rows).all(3).any(2)
         linked = tensor & (eq.sum(2) >= least)
         return [(int(ids[a]), int(ids[b])) for a, b in spanning(n, lambda i: np.flatnonzero(linked[i]), int(linked.sum(1).argmax()))]
-    found = []
+    found, parent = [], list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
     for j in range(pieces):
         part = np.ascontiguousarray(sig[:, second + j * rows : second + (j + 1) * rows])
         _, key = np.unique(part, axis=0, return_inverse=True)
@@ -144,7 +151,11 @@ def signature_edges(ids: np.ndarray, sig: np.ndarray, second: int, pieces: int,
                 s = sig[run]
                 common = np.array([np.bincount(s[:, c], minlength=256).argmax() for c in range(s.shape[1])], np.uint8)
                 centre = int((s == common).sum(1).argmax())
-                found += [(int(ids[run[a]]), int(ids[run[b]])) for a, b in spanning(len(run), lambda i, s=s: np.flatnonzero((s == s[i]).sum(1) >= least), centre)]
+                for a, b in spanning(len(run), lambda i, s=s: np.flatnonzero((s == s[i]).sum(1) >= least), centre):
+                    x, y = root(int(run[a])), root(int(run[b]))
+                    if x != y:  # else another piece has connected them
+                        parent[x] = y
+                        found.append((int(ids[run[a]]), int(ids[run[b]])))
     return found
 
 
@@ -287,7 +298,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # blocks of a cluster; every pair of its blocks is a group
     total = members.groupBy("cluster").agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("blocks"))
     placed = members.join(total, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = placed.select("rep", "cluster", "blocks", "block").join(source.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep"), "rep")
+    # always by a shuffle: the members grow with the corpus, so a broadcast at small sizes would only hide that
+    texts = placed.select("rep", "cluster", "blocks", "block").hint("merge").join(source.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep"), "rep")
 
     def shingles(batches):
         import pyarrow as pa
@@ -334,7 +346,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """The documents without those that have a near duplicate of a smaller id; columns as given."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
     gone = saved(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "minhash-gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
