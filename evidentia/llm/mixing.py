@@ -113,7 +113,7 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     plan = decided(docs, id_col=id_col, text_col=text_col, source_col=source_col, cap=cap, seed=seed).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
     plan = saved(plan, "mix-plan").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_mix_own", size).join(plan, F.col(id_col).eqNullSafe(F.col("_mix_id")) & F.col(source_col).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_own") == F.col("_mix_size")))
+    rows = docs.withColumn("_mix_own", size).join(plan.hint("merge"), F.col(id_col).eqNullSafe(F.col("_mix_id")) & F.col(source_col).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_own") == F.col("_mix_size")))
     return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
