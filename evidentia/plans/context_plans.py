@@ -63,7 +63,7 @@ def code_search(spark, d):
 
 def code_symbol(spark, d):
     f = parts_as_fragments(spark, d)
-    return code.symbol(f, "part_7", 25).unionByName(code.symbol(f, "nothing_here", 25))
+    return code.symbol(f, "small_widget", 25).unionByName(code.symbol(f, "nothing_here", 25))
 
 
 def code_references(spark, d):
@@ -124,7 +124,7 @@ ORACLES = {
     "impact_edges": f"WITH {_ROLE_EDGES}, ro AS (SELECT 'page:' || path AS root FROM roles WHERE type = 'implementation') SELECT root, 'outgoing' AS direction, kind, dst AS node FROM re JOIN ro ON src = root UNION ALL SELECT root, 'incoming', kind, src FROM re JOIN ro ON dst = root",
     "graph_dependencies": f"WITH {_ROLE_EDGES}, h AS (SELECT doc_id // 20 AS qid, 'doc/' || lpad(doc_id::VARCHAR, 9, '0') || '.md' AS path FROM documents WHERE doc_id % 20 < 4) SELECT DISTINCT b.qid, b.path FROM re JOIN h a ON src = 'page:' || a.path JOIN h b ON dst = 'page:' || b.path AND a.qid = b.qid",
     "code_search": f"WITH {_PARTS} SELECT path, start_line, symbol, score FROM (SELECT path, start_line, symbol, round({_search_sql('brand steel')}, 6) AS score FROM fr) WHERE score > 0 ORDER BY score DESC, path, start_line LIMIT 25",
-    "code_symbol": f"WITH {_PARTS} SELECT path, start_line, symbol, qualified_name, 160 AS score FROM fr WHERE lower(symbol) = 'part_7' ORDER BY path, start_line LIMIT 25",
+    "code_symbol": f"WITH {_PARTS} SELECT path, start_line, symbol, qualified_name, 160 AS score FROM fr WHERE lower(symbol) = 'small_widget' ORDER BY path, start_line LIMIT 25",
     "code_references": f"WITH {_PARTS}, t AS (SELECT DISTINCT unnest(string_split(p_type, ' ')) AS target FROM part), u AS (SELECT path, start_line, symbol, lower(unnest(calls)) AS n, 0 AS k FROM fr UNION ALL SELECT path, start_line, symbol, lower(unnest(refs)), 1 FROM fr UNION ALL SELECT path, start_line, symbol, lower(imports), 2 FROM fr) SELECT target, ['call', 'reference', 'import'][k + 1] AS how, count(*) AS n FROM (SELECT target, path, start_line, min(k) AS k FROM u JOIN t ON n = lower(target) WHERE lower(symbol) <> lower(target) GROUP BY ALL) GROUP BY ALL",
     "document_review": """WITH c AS (SELECT 'conv/' || conv_id || '/' || turn AS path, coalesce(role, 'x') AS role, conv_id, '# Title' || chr(10) || chr(10) || '## ' || coalesce(role, 'x') || chr(10) || coalesce(text, '') || CASE WHEN conv_id % 3 = 0 THEN chr(10) || 'TODO' ELSE '' END || CASE WHEN conv_id % 4 = 0 THEN chr(10) || '# Second' ELSE '' END AS body FROM conversations WHERE turn <= 1)
 SELECT path, 'BLOCKER' AS severity, 'UNRESOLVED_PLACEHOLDER' AS code, '' AS detail FROM c WHERE regexp_matches(body, '(?i)\\b(TODO|TBD|FIXME)\\b')
