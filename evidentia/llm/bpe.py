@@ -110,7 +110,7 @@ class TokenCounter:
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each whole text; a special string inside one is one token, as by the library's default."""
-        apart = {i: self._count(t) for i, t in enumerate(texts) if whole(t, "byte")}
+        apart = {i: self._count(texts[i]) for i in whole(texts, "byte")}
         names, codes, places = chunked(["" if i in apart else t for i, t in enumerate(texts)], "byte")
         each = np.fromiter(map(self._chunk, names), np.int64, len(names))
         ends = np.concatenate([[0], np.cumsum(each[codes])])[np.concatenate([[0], np.cumsum(places)])]

@@ -9,23 +9,31 @@ whole text; texts where a cut could matter take the library's whole-text path.
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-#: A blank with white space on both sides belongs to one run: no cut is safe there. Nor where our own mark or a special string's start is in the text.
-_WHOLE = {"byte": re.compile("\\s \\s|\x01|<\\|").search, "word": re.compile("<\\|").search}
+#: Where a text must not be cut: a blank with white space on both sides belongs to one run; so must not texts that hold
+#: our own mark or the start of a special string. (RE2 syntax.)
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
+_WHOLE = {"byte": _SPACE + " " + _SPACE + r"|\x01|<\|", "word": r"<\|"}
 
 
-def whole(text: str, style: str) -> bool:
-    """True for a text that must not be cut."""
-    return _WHOLE[style](text) is not None
+#: A Latin letter before a sign: both pre-tokenizers end a match between them. (The apostrophe isn't among the signs.)
+_CUT = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:#%&*$])"
+
+
+def whole(texts: list[str], style: str) -> list[int]:
+    """Numbers of the texts that must not be cut."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), _WHOLE[style]).to_numpy(zero_copy_only=False)).tolist()
 
 
 def chunked(texts: list[str], style: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct chunks, chunk number of each place, places per text) of texts that may be cut.
 
-    Cuts are made at blanks and between a letter and a stop or comma, where both pre-tokenizers end a match.
+    Cuts are made at blanks and between a letter and a sign, where both pre-tokenizers end a match.
     "byte": a blank stays with the word behind it. "word": blanks and line ends are dropped and ASCII letters
     put in lower case, as the vocabulary's normalizer does.
     """
@@ -34,9 +42,9 @@ def chunked(texts: list[str], style: str) -> tuple[list[str], np.ndarray, np.nda
 
     arr = pa.array(texts, pa.large_string())
     if style == "word":
-        arr = pc.replace_substring_regex(pc.ascii_lower(pc.replace_substring(arr, "\n", " ")), r"([a-z])([.,])", r"\1 \2")
+        arr = pc.replace_substring_regex(pc.ascii_lower(pc.replace_substring(arr, "\n", " ")), _CUT, r"\1 \2")
     else:
-        arr = pc.replace_substring_regex(arr, r"([A-Za-z])([.,])", "\\1 \x01\\2")
+        arr = pc.replace_substring_regex(arr, _CUT, "\\1 \x01\\2")
     parts = pc.split_pattern(arr, " ")
     coded = parts.flatten().dictionary_encode()
     names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
@@ -58,7 +66,7 @@ def chunked(texts: list[str], style: str) -> tuple[list[str], np.ndarray, np.nda
 class ChunkEncoder:
     """Ids of whole texts by a vocabulary file."""
 
-    def __init__(self, path: str, style: str, capacity: int = 800_000):
+    def __init__(self, path: str, style: str, capacity: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -105,7 +113,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text) of a batch; null is the empty text."""
         texts = [t or "" for t in texts]
-        runs = {i: np.array(self._plain([t])[0], np.uint32) for i, t in enumerate(texts) if whole(t, self.style)}
+        runs = {i: np.array(self._plain([texts[i]])[0], np.uint32) for i in whole(texts, self.style)}
         names, codes, counts = chunked(["" if i in runs else t for i, t in enumerate(texts)], self.style)
         known = self.known
         self._learn([c for c in names if c not in known])
@@ -148,8 +156,9 @@ def encoder(path: str, style: str) -> ChunkEncoder:
     return _ENCODERS[path, style]
 
 
-def slices(batch, text_col: str, limit: int = 8 << 20):
+def slices(batch, text_col: str, limit: int = 4 << 20):
     """Parts of an Arrow batch whose texts hold about `limit` bytes at most (or one row)."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0).to_numpy(zero_copy_only=False)
@@ -159,3 +168,4 @@ def slices(batch, text_col: str, limit: int = 8 << 20):
         stop = min(max(stop, at + 1), batch.num_rows)
         yield batch.slice(at, stop - at)
         at = stop
+    pa.default_memory_pool().release_unused()
