@@ -75,7 +75,11 @@ def compact_identifier(text: Column) -> Column:
 def identifier_aliases(text: Column) -> Column:
     """Distinct joins of one to three neighbouring alphanumeric runs, two characters or longer."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
-    joins = [F.transform(runs, lambda _, i, n=n: F.array_join(F.slice(runs, i + 1, F.lit(n)), "")) for n in (1, 2, 3)]
+
+    def joined(n: int) -> Column:
+        return F.transform(runs, lambda _, i: F.array_join(F.slice(runs, i + 1, F.lit(n)), ""))
+
+    joins = [joined(n) for n in (1, 2, 3)]
     return F.array_distinct(F.filter(F.concat(*joins), lambda x: F.length(x) >= 2))
 
 

@@ -14,19 +14,23 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import graph, lexical
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark on ts (which needs a zoned timestamp); a batch as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """window_start, event_type, events, users, total per tumbling window; works on batches and, with a watermark, on streams
     (there the distinct users are an estimate, as streams have no exact distinct count)."""
     users = F.approx_count_distinct("user_id") if events.isStreaming else F.countDistinct("user_id")
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = _marked(events, late)
     g = e.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("events"), users.alias("users"), F.round(F.sum("value"), 4).alias("total"))
     return g.select(F.col("window.start").alias("window_start"), "event_type", "events", "users", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """user_id, session_start, events: events less than `gap` apart."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
-    return e.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("events")).select("user_id", F.col("session_window.start").alias("session_start"), "events")
+    return _marked(events, late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("events")).select("user_id", F.col("session_window.start").alias("session_start"), "events")
 
 
 def last_changes(batch: DataFrame) -> DataFrame:
