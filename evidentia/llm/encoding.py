@@ -149,11 +149,12 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, style: str) -> ChunkEncoder:
-    """One encoder for each Python worker."""
-    if (path, style) not in _ENCODERS:
-        _ENCODERS[path, style] = ChunkEncoder(path, style)
-    return _ENCODERS[path, style]
+def encoder(path: str, style: str, capacity: int = 600_000) -> ChunkEncoder:
+    """One encoder for each Python worker; `capacity` bounds the chunks it remembers."""
+    key = path, style, capacity
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ChunkEncoder(*key)
+    return _ENCODERS[key]
 
 
 def slices(batch, text_col: str, limit: int = 4 << 20):

@@ -17,7 +17,11 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
+#: No SQL has the tokenizers (op3, op4, op6), the keyed permutation (op7) or the dual's solution (op10).
 ORACLES: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
     "op2_quality": quality.ORACLE,
+    "op5_near_duplicates": neardup.ORACLE,
     "op8_top_k": topk.ORACLE,
+    "op9_repeated_passages": substring.ORACLE,
 }

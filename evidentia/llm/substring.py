@@ -306,3 +306,15 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the passages of 50 words that start in a document of a smaller id too."""
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+h AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM v) WHERE first < doc_id),
+g AS (SELECT DISTINCT doc_id, i + d AS pos FROM h, (SELECT unnest(range(0, 50)) AS d)),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM p ANTI JOIN g USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) c USING (doc_id)
+"""

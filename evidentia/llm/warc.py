@@ -156,3 +156,12 @@ def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "warc")
     index = write_archives(table(spark, sf_dir, "pages"), root)
     return read_archives(index, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_B32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> {s}) & 31)::INTEGER, 1)"
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform([('0x' || substr(x, (1 + 5 * k)::INTEGER, 5))::BIGINT], lambda v: {" || ".join(_B32.format(s=s) for s in (15, 10, 5, 0))}), '')), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM g
+"""

@@ -126,7 +126,7 @@ class WaveletShard:
         return level
 
 
-def write_shards(docs: DataFrame, root: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shard_tokens: int = 1 << 21, style: str = "word") -> DataFrame:
+def write_shards(docs: DataFrame, root: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shard_tokens: int = 1 << 20, style: str = "word", pool_chunks: int = 900_000) -> DataFrame:
     """Encode and write all documents in ascending id order; returns the catalogue (one row per shard, with its first token's number).
 
     Documents are range-partitioned by id; a shard closes at the first document end beyond `shard_tokens`.
@@ -139,7 +139,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer_path: str, *, id_col: str
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        enc, ids, names, lengths, held = encoder(tokenizer_path, style), [], [], [], 0
+        enc, ids, names, lengths, held = encoder(tokenizer_path, style, pool_chunks), [], [], [], 0
         made = []
 
         def close():
