@@ -18,10 +18,12 @@ def duck(sf_dir):
 
 def rows(frame):
     """Rows as a sorted list of texts, columns by name; doubles to 6 places."""
+    import pandas as pd
+
     out = []
     cols = sorted(frame.columns)
     for r in frame[cols].itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(int(v)) if hasattr(v, "__index__") and not isinstance(v, bool) else str(v) for v in r))
+        out.append(tuple(None if pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(int(v)) if hasattr(v, "__index__") and not isinstance(v, bool) else str(v) for v in r))
     return cols, sorted(out, key=str)
 
 
