@@ -91,6 +91,8 @@ class WordIndex:
     which is as good as full order for patterns of up to 64."""
 
     def __init__(self, text: np.ndarray):
+        if not len(text) or text[-1]:  # the word before the first one must not be a real one
+            text = np.append(text, 0)
         n = len(text)
         rank = text.astype(np.int64)
         step = 1
