@@ -57,7 +57,7 @@ def test_ingest_and_code(spark, wiki):
     f = wiki.files.select("path", "content")
     anchors = f.select(F.lit(1).alias("anchor_id"), "path", F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), T.range_hash(F.col("content"), F.lit(1), F.lit(2)).alias("range_hash"), F.lit("v0").alias("parser_version"))
     assert wiki.drift(anchors).first().reason == "parser_version_changed"
-    c = spark.createDataFrame([("c1", "requirement", "Same text", "pay orders"), ("c2", "requirement", "same  TEXT", "x"), ("c3", "fact", "other", "nothing")], "claim_id string, kind string, text string, anchor string")
+    c = spark.createDataFrame([("c1", "requirement", "Same text", "pay orders"), ("c2", "requirement", "Same  text", "x"), ("c3", "fact", "other", "nothing")], "claim_id string, kind string, text string, anchor string")
     r = spark.createDataFrame([("c3", "contradicts", "c1")], "claim_id string, type string, target_id string")
     got = {x.claim_id: (x.disposition, x.status) for x in wiki.apply_claims(c, r).collect()}
     assert got["c2"][0] == "duplicate" and got["c3"] == ("contradiction", "contradicted") and got["c1"] == ("candidate_update", "contradicted")
