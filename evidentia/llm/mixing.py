@@ -42,14 +42,14 @@ def source_targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
     return s.select("_src", "source_size", "_n", target.alias("target"))
 
 
-def tilted(hist: DataFrame, targets: DataFrame, cap: int = 3, rounds: int = 40, tolerance: float = 1e-9) -> DataFrame:
+def tilted(hist: DataFrame, targets: DataFrame, cap: int = 3, rounds: int = 42, tolerance: float = 1e-9) -> DataFrame:
     """targets with _lambda and _scale: safeguarded Newton on the dual of each source, all sources at once."""
     state = saved(
         targets.filter("source_size > 0").withColumn("_scale", F.col("source_size") / F.col("_n"))
         .withColumns({"_lambda": F.lit(0.0), "_lo": F.lit(None).cast("double"), "_hi": F.lit(None).cast("double"), "_done": F.col("target") >= cap * F.col("source_size")}),
         "mix-dual",
     )
-    for _ in range(rounds):
+    for k in range(rounds):
         x = F.col("_size") / F.col("_scale")
         rate = F.exp(F.least(F.col("_lambda") * x, F.lit(50.0)))
         free = rate < cap
@@ -67,9 +67,11 @@ def tilted(hist: DataFrame, targets: DataFrame, cap: int = 3, rounds: int = 40,
         split = F.when(lo.isNotNull() & hi.isNotNull(), (lo + hi) / 2).when(low, F.col("_lambda") * 2 + 1).otherwise(F.col("_lambda") * 2 - 1)
         good = step.isNotNull() & (lo.isNull() | (step > lo)) & (hi.isNull() | (step < hi)) & (F.abs(step - F.col("_lambda")) <= 4 + F.abs(F.col("_lambda")))
         moved = F.when(F.col("_done") | met, F.col("_lambda")).when(good, step).otherwise(split)
-        state = saved(s.select("_src", "source_size", "_n", "target", "_scale", moved.alias("_lambda"), F.coalesce(lo, "_lo").alias("_lo"), F.coalesce(hi, "_hi").alias("_hi"), (F.col("_done") | met).alias("_done")), "mix-dual")
-        if state.filter("NOT _done").isEmpty():
-            break
+        state = s.select("_src", "source_size", "_n", "target", "_scale", moved.alias("_lambda"), F.coalesce(lo, "_lo").alias("_lo"), F.coalesce(hi, "_hi").alias("_hi"), (F.col("_done") | met).alias("_done"))
+        if k % 3 == 2:  # three steps make one table
+            state = saved(state, "mix-dual")
+            if state.filter("NOT _done").isEmpty():
+                break
     return state
 
 
@@ -80,13 +82,15 @@ def copies_by_size(hist: DataFrame, state: DataFrame, cap: int = 3, passes: int
     h = hist.join(state.select("_src", "source_size", "target", "_lambda", "_scale"), "_src").withColumn("_sum", F.sum(F.col("_count") * rate).over(w))
     taken = F.floor(F.col("_sum") + 0.5) - F.floor(F.coalesce(F.lag("_sum").over(w), F.lit(0.0)) + 0.5)
     h = saved(h.select("_src", "_size", "_count", "target", F.greatest(F.lit(0), F.least(taken, cap * F.col("_count"))).cast("long").alias("_copies")), "mix-copies")
-    for _ in range(passes):
+    for k in range(passes):
         left = h.groupBy("_src").agg((F.first("target") - F.sum(F.col("_copies") * F.col("_size"))).alias("_left"))
         open_rows = h.join(left, "_src").filter((F.col("_size") > 0) & (F.col("_size") <= F.abs("_left")) & F.when(F.col("_left") > 0, F.col("_copies") < cap * F.col("_count")).otherwise(F.col("_copies") > 0))
         pick = open_rows.groupBy("_src").agg(F.max("_size").alias("_size"), F.first("_left").alias("_left"))
         room = F.when(F.col("_left") > 0, cap * F.col("_count") - F.col("_copies")).otherwise(F.col("_copies"))
         change = F.signum("_left") * F.least(F.floor(F.abs("_left") / F.col("_size")), room)
-        h = saved(h.join(pick, ["_src", "_size"], "left").select("_src", "_size", "_count", "target", (F.col("_copies") + F.coalesce(change, F.lit(0))).cast("long").alias("_copies")), "mix-copies")
+        h = h.join(pick, ["_src", "_size"], "left").select("_src", "_size", "_count", "target", (F.col("_copies") + F.coalesce(change, F.lit(0))).cast("long").alias("_copies"))
+        if k % 2 or k == passes - 1:
+            h = saved(h, "mix-copies")
     return h
 
 
