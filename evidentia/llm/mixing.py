@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WORD, saved, table
 
 #: Documents of one (source, size) that one task ranks.
-SHARE = 10_000
+SHARE = 1_000
 
 
 def source_targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
