@@ -40,7 +40,9 @@ def search_text(text: Column, nfkc: bool = False) -> Column:
 def tokens(text: Column, nfkc: bool = False) -> Column:
     """All tokens of a text with their parts of two characters or more, repeats included."""
     whole = F.regexp_extract_all(folded(F.coalesce(text, F.lit("")), nfkc), F.lit(TOKEN), 0)
-    return F.flatten(F.transform(whole, lambda t: F.concat(F.array(t), F.filter(F.split(t, DELIMITERS), lambda p: (F.length(p) >= 2) & (p != t)))))
+    parts = lambda t: F.concat(F.array(t), F.filter(F.split(t, DELIMITERS), lambda p: (F.length(p) >= 2) & (p != t)))
+    # most tokens have no delimiter and so no parts
+    return F.flatten(F.transform(whole, lambda t: F.when(t.rlike("[_./:#-]"), parts(t)).otherwise(F.array(t))))
 
 
 def distinct_tokens(text: Column, nfkc: bool = False) -> Column:
