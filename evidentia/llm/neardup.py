@@ -227,7 +227,7 @@ def _edge_batch(edges):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, pieces: int = 10, rows: int = 2, block_shingles: int = 500_000, run_limit: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, pieces: int = 10, rows: int = 2, block_shingles: int = 150_000, run_limit: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id for every row. Words are lower-cased in A-Z.
 
     With the default 100 tables of 4 minhashes (from 40), a link at 85 % is met in some table with
