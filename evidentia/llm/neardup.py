@@ -103,25 +103,38 @@ def minhashes(flat: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
 def spanning(n: int, links, centre: int, skip: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that connect 0..n-1 as all links do. links(i) gives the rows linked with i.
 
-    A row is looked at unless it is in the largest component: two rows that are both left out are
-    connected already, so no link between components is missed.
+    A row is passed over while it is in the component of one row, the anchor: two rows passed over under the same
+    anchor are connected already, so no link between components is missed. When another component is twice as large,
+    the anchor moves there and the rows passed over under the old one are asked again.
     """
     label = np.arange(n)
     size = np.ones(n, np.int64)
-    out, largest = [], centre
-    for i in [centre, *range(n)]:
-        if (i == centre and out) or (i != centre and label[i] == label[largest] and size[label[largest]] > 1) or (skip is not None and skip[i]):
+    seen = np.zeros(n, bool) if skip is None else skip.copy()
+    out, anchor, passed = [], centre, []
+    todo = [*range(n - 1, -1, -1), centre]
+    while todo:
+        i = todo.pop()
+        if seen[i]:
             continue
-        for other in np.unique(label[links(i)]):
-            mine = label[i]
-            if other == mine:
-                continue
-            out.append((i, int(other)))
-            big, small = (mine, other) if size[mine] >= size[other] else (other, mine)
-            label[label == small] = big
-            size[big] += size[small]
-            if size[big] > size[label[largest]]:
-                largest = big
+        if label[i] == label[anchor] and size[label[anchor]] > 1:
+            passed.append(i)
+            continue
+        seen[i] = True
+        others = np.unique(label[links(i)])
+        others = others[others != label[i]]
+        if not len(others):
+            continue
+        out += [(i, int(other)) for other in others]
+        every = np.append(others, label[i])
+        big, total = every[size[every].argmax()], size[every].sum()
+        joined = np.zeros(n, bool)
+        joined[every] = True
+        label[joined[label]] = big
+        size[big] = total
+        if total >= 2 * size[label[anchor]]:
+            anchor = i
+            todo += passed[::-1]
+            passed = []
     return out
 
 

@@ -239,3 +239,35 @@ def test_large_components_stay_exact(spark):
     for r in topk.top_k(v.filter("vec_id = 20"), v, k=3).collect():
         a, b = rows[20][1], rows[r.vec_id][1]
         assert r.score == sum(int(64 * x) * int(64 * y) for x, y in zip(a, b))
+
+
+def _parts(n, edges):
+    label = list(range(n))
+    for a, b in edges:
+        x, y = label[a], label[b]
+        label = [y if v == x else v for v in label]
+    return {tuple(i for i in range(n) if label[i] == v) for v in label}
+
+
+def test_spanning_edges_connect_as_all_links_do():
+    """Chains and bridged clumps in random order: rows left out under one component aren't lost when another grows larger."""
+    cases = [(5, 0, [(0, 1), (1, 3), (2, 3), (2, 4)])]
+    draw = random.Random(7)
+    for case in range(300):
+        n = draw.randrange(5, 60)
+        rows = draw.sample(range(n), n)
+        if case % 2:
+            links = [(rows[i], rows[i + 1]) for i in range(n - 1) if draw.random() < 0.9]
+        else:
+            clumps = [rows[i : i + 7] for i in range(0, n, 7)]
+            links = [(x, y) for c in clumps for x in c for y in c if x < y and draw.random() < 0.6]
+            links += [(draw.choice(a), draw.choice(b)) for a, b in zip(clumps, clumps[1:]) if draw.random() < 0.7]
+        cases.append((n, draw.randrange(n), links))
+    for n, centre, links in cases:
+        near = defaultdict(set)
+        for a, b in links:
+            near[a].add(b)
+            near[b].add(a)
+        got = neardup.spanning(n, lambda i: np.array(sorted(near[i]), np.int64), centre)
+        assert _parts(n, got) == _parts(n, links)
+        assert len(got) == n - len(_parts(n, links))
