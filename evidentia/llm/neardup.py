@@ -3,7 +3,8 @@
 Exact copies of a shingle set are one class. Of each class, two small collections of `pieces` band
 pieces (of `rows` minhashes each) are made; a table key is a pair of a piece of the first and a piece of
 the second, so pieces^2 tables cost 2 * pieces * rows minhashes. Rows are dealt by the first piece and
-matched on the second inside their task. Matches whose signatures agree too little are dropped (at a
+matched on the second inside their task; rows of a first piece that very many classes share are dealt by both
+pieces, so each table's bucket is still matched whole. Matches whose signatures agree too little are dropped (at a
 distance of over four standard errors from the threshold); the others join classes into clusters. Links
 are confirmed on the full shingle sets of each cluster, all pairs of it: inside a block, intersections
 come from an inverted index, and pairs already connected are skipped; a large cluster is cut into blocks
@@ -138,6 +139,21 @@ def spanning(n: int, links, centre: int, skip: np.ndarray | None = None) -> list
     return out
 
 
+def bucket_edges(s: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Spanning edges among the rows of one table's bucket that agree in `least` places of their signatures."""
+    common = np.array([np.bincount(s[:, c], minlength=256).argmax() for c in range(s.shape[1])], np.uint8)
+    return spanning(len(s), lambda i: np.flatnonzero((s == s[i]).sum(1) >= least), int((s == common).sum(1).argmax()))
+
+
+def _signatures(column, width: int) -> np.ndarray:
+    """The rows of a binary column without nulls, each of `width` bytes, as a matrix."""
+    parts = []
+    for c in column.chunks:
+        at = int(np.frombuffer(c.buffers()[1], np.int32)[c.offset])
+        parts.append(np.frombuffer(c.buffers()[2], np.uint8, len(c) * width, at).reshape(-1, width))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def signature_edges(ids: np.ndarray, sig: np.ndarray, second: int, pieces: int, rows: int, least: int) -> list[tuple[int, int]]:
     """Spanning edges among rows of one first-piece key: rows that share a piece of the second collection and
     agree in `least` places of their signatures."""
@@ -161,10 +177,7 @@ def signature_edges(ids: np.ndarray, sig: np.ndarray, second: int, pieces: int,
         order = np.argsort(key.ravel(), kind="stable")
         for run in np.split(order, np.flatnonzero(np.diff(key.ravel()[order])) + 1):
             if len(run) > 1:
-                s = sig[run]
-                common = np.array([np.bincount(s[:, c], minlength=256).argmax() for c in range(s.shape[1])], np.uint8)
-                centre = int((s == common).sum(1).argmax())
-                for a, b in spanning(len(run), lambda i, s=s: np.flatnonzero((s == s[i]).sum(1) >= least), centre):
+                for a, b in bucket_edges(sig[run], least):
                     x, y = root(int(run[a])), root(int(run[b]))
                     if x != y:  # else another piece has connected them
                         parent[x] = y
@@ -240,11 +253,12 @@ def _edge_batch(edges):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, pieces: int = 10, rows: int = 2, block_shingles: int = 150_000, run_limit: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, pieces: int = 10, rows: int = 2, block_shingles: int = 150_000, hot: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id for every row. Words are lower-cased in A-Z.
 
     With the default 100 tables of 4 minhashes (from 40), a link at 85 % is met in some table with
     probability 1 - 5e-6, at 80 % with 1 - 7e-5; missed ones still join if their classes share a cluster.
+    First pieces of over about `hot` classes are dealt by both pieces; the edges connect the same rows either way.
     """
     hashes = 2 * pieces * rows
     share = percent / 100
@@ -290,22 +304,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for run in _runs(_narrow(batches), 1):
             if run.num_rows < 2:
                 continue
-            carry = None
-            for at in range(0, run.num_rows, run_limit):
-                part = run.slice(at, run_limit)
-                ids = part.column(1).to_numpy()
-                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(ids), hashes)
-                if carry is not None:
-                    ids, sig = np.concatenate([carry[0], ids]), np.concatenate([carry[1], sig])
-                found += signature_edges(ids, sig, pieces * rows, pieces, rows, least)
-                carry = ids[:4096], sig[:4096]
+            found += signature_edges(run.column(1).to_numpy(), _signatures(run.column(2), hashes), pieces * rows, pieces, rows, least)
+            if len(found) > 50_000:
+                yield _edge_batch(found)
+                found = []
+        yield _edge_batch(found)
+
+    def match_bucket(batches):
+        found = []
+        for run in _runs(_narrow(batches), 1):
+            if run.num_rows > 1:
+                ids = run.column(1).to_numpy()
+                found += [(int(ids[a]), int(ids[b])) for a, b in bucket_edges(_signatures(run.column(2), hashes), least)]
             if len(found) > 50_000:
                 yield _edge_batch(found)
                 found = []
         yield _edge_batch(found)
 
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    candidates = dealt.repartition(n_parts, "head").sortWithinPartitions("head").mapInArrow(match, "a long, b long")
+    # a sample is enough to find the hot keys: both ways are whole
+    share = min(1.0, 10_000 / hot)
+    counted = (classes.sample(share, 1) if share < 1 else classes).select(F.explode("heads").alias("head")).groupBy("head").count()
+    crowded = [r["head"] for r in counted.filter(F.col("count") > hot * share).select("head").collect()]
+    few = dealt.filter(~F.col("head").isin(crowded)) if crowded else dealt
+    candidates = few.repartition(n_parts, "head").sortWithinPartitions("head").mapInArrow(match, "a long, b long")
+    if crowded:
+        # one key for each table's bucket; two buckets under one key would only be matched together
+        second = F.substring("sig", F.lit(pieces * rows + 1) + F.col("j") * rows, F.lit(rows))
+        buckets = dealt.filter(F.col("head").isin(crowded)).select("head", "rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("j")).select(F.xxhash64("head", "j", second).alias("bucket"), "rep", "sig")
+        candidates = candidates.unionByName(buckets.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(match_bucket, "a long, b long"))
     clusters = components(candidates).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     members = saved(clusters.join(classes.select("rep", "size"), "rep"), "minhash-clusters")
     # blocks of a cluster; every pair of its blocks is a group

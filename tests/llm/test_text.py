@@ -271,3 +271,21 @@ def test_spanning_edges_connect_as_all_links_do():
         got = neardup.spanning(n, lambda i: np.array(sorted(near[i]), np.int64), centre)
         assert _parts(n, got) == _parts(n, links)
         assert len(got) == n - len(_parts(n, links))
+
+
+@pytest.mark.parametrize("hot", [1, 20])
+def test_hot_first_pieces_are_matched_whole(spark, hot):
+    """Rows of first pieces over the counted size are dealt by both pieces; no pair of a bucket is left out."""
+    rng = random.Random(9)
+    texts = {}
+    for _ in range(5):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        for _ in range(24):
+            w = list(base)
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**9)}"
+            texts[len(texts)] = " ".join(w)
+    want, _ = _components(texts, 3, 85)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = neardup.near_duplicates(docs, shingle=3, percent=85, hot=hot)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
