@@ -37,7 +37,7 @@ PATTERNS = [
 ]
 ENTITY = "|".join(PATTERNS)
 #: Texts without any of these have no entity.
-HINT = rf"[0-9]{{2}}|[0-9]\.[0-9]|@|{_TITLE}\.? \p{{Lu}}"
+HINT = rf"[0-9]{{2}}|[0-9]\.[0-9]|@|{_TITLE}\.? \p{{Lu}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20}}|[0-9a-f]{{32}}|[0-9A-F]{{32}}"
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"

@@ -289,3 +289,11 @@ def test_hot_first_pieces_are_matched_whole(spark, hot):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = neardup.near_duplicates(docs, shingle=3, percent=85, hot=hot)
     assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_every_pattern_is_found_alone(spark):
+    """One entity of each pattern, alone in its text and without adjacent digits where the pattern allows that."""
+    alone = ["a.b@c.org", "a1b2c3d4" * 4, "A1B2C3D4" * 4, "abcdefab" * 4, "AKIA" + "Q7ZB" * 4, "AKIA" + "QWERTZUI" * 2, "ghp_" + "aB3d" * 9, "gho_" + "abcD" * 9, "sk-" + "x9Yz" * 8, "sk-" + "abcdE" * 4, "1.2.3.4", "GB29 NWBK AAAA BBBB CCCC", "+1 555 0100 200", "(212) 555-0100", "212-555-0100", "123-45-6789", "4111 1111 1111 1111", "4111111111111111", "Dr. Smith", "Г-н Иванов"]
+    docs = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymized(docs).collect()}
+    assert [(alone[i], got[i]._n_entities, got[i].text != alone[i]) for i in got] == [(alone[i], 1, True) for i in got]
