@@ -6,7 +6,8 @@ alphabet. So equal entities get equal surrogates (coreference), different entiti
 share one (distinctness by construction), and length, punctuation, script, letter case, vowels of names,
 last letter of names (gender), titles, country codes, top-level domains, octet ranges and the validity of
 a card's check digit are kept. A collision check then holds the surrogates of all distinct entities
-against each other and against all entities of the corpus, and moves on to the next nonce if one occurs.
+against each other and against all entities of the corpus; an entity whose surrogate collides gets one of the
+next nonces' that is neither an entity nor taken.
 
 Defined results: null text stays null with no entities; empty text stays empty; null ids and repeated rows
 are rewritten row by row; an empty table gives no rows; other columns pass through untouched.
@@ -67,9 +68,12 @@ def _alphabet(kind: str, c: str) -> str:
 _DOUBLED = "aggregate(transform(reverse(split(regexp_replace({d}, '[^0-9]', ''), '')), (c, i) -> CASE WHEN i % 2 = 0 THEN 2 * int(c) - IF(int(c) > 4, 9, 0) ELSE int(c) END), 0, (a, x) -> a + x)"
 
 
-def _steps(key: str) -> list[str]:
-    """SQL stages from an array of matches to an array of structs (m, kind, sur). Each stage reads `x` of the array before it."""
-    secret = key.replace("\\", "\\\\").replace("'", "\\'")
+def _quoted(key: str) -> str:
+    return "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _steps(secret: str) -> list[str]:
+    """`secret` is SQL for the key. SQL stages from an array of matches to an array of structs (m, kind, sur). Each stage reads `x` of the array before it."""
     units = f"IF(x.kind = 'ip', transform(split(x.core, '[.]'), t -> named_struct('t', t, 'a', '', 'v', int(t) - CASE length(t) WHEN 1 THEN 0 WHEN 2 THEN 10 ELSE 100 END, 'r', CASE length(t) WHEN 1 THEN 10 WHEN 2 THEN 90 ELSE 156 END)), transform(filter(split(x.core, ''), t -> t <> ''), t -> named_struct('t', t, 'a', {_alphabet('x.kind', 't')}, 'v', 0, 'r', 1)))"
     settled = "transform(x.u, t -> IF(t.a = '', t, named_struct('t', t.t, 'a', t.a, 'v', instr(t.a, t.t) - 1, 'r', length(t.a))))"
     shape = "concat(x.kind, '|', x.pre, '|', x.post, '|', array_join(transform(x.u, t -> IF(t.r = 1, t.t, IF(t.a = '', concat('#', length(t.t)), substr(t.a, 1, 1)))), ''))"
@@ -77,7 +81,7 @@ def _steps(key: str) -> list[str]:
     start = f"named_struct('l', slice(transform(x.u, t -> t.v), 1, {half}), 'r', slice(transform(x.u, t -> t.v), {half} + 1, size(x.u)), 'p', slice(transform(x.u, t -> t.r), 1, {half}), 'q', slice(transform(x.u, t -> t.r), {half} + 1, size(x.u)), 'h', '')"
     # even steps hash the right half, odd steps move the left half by it and change sides
     step = (
-        f"(s, k) -> IF(k % 2 = 0, named_struct('l', s.l, 'r', s.r, 'p', s.p, 'q', s.q, 'h', sha2(concat('{secret}', '|', k, '|', x.shape, '|', array_join(s.r, ',')), 512)),"
+        f"(s, k) -> IF(k % 2 = 0, named_struct('l', s.l, 'r', s.r, 'p', s.p, 'q', s.q, 'h', sha2(concat({secret}, '|', k, '|', x.shape, '|', array_join(s.r, ',')), 512)),"
         " named_struct('l', s.r, 'r', transform(s.l, (v, i) -> pmod(v + int(conv(substr(s.h, 1 + 4 * pmod(i, 31), 6), 16, 10)), s.p[i])), 'p', s.q, 'q', s.p, 'h', s.h))"
     )
     moved = f"aggregate(sequence(0, 11), {start}, {step}, s -> concat(s.l, s.r))"
@@ -98,8 +102,8 @@ def _steps(key: str) -> list[str]:
     ]
 
 
-def _replaced(df: DataFrame, matches: str, key: str, out: str) -> DataFrame:
-    for i, sql in enumerate(_steps(key)):
+def _replaced(df: DataFrame, matches: str, secret: str, out: str) -> DataFrame:
+    for i, sql in enumerate(_steps(secret)):
         df = df.withColumn(f"{out}{i}", F.expr(sql.replace("{0}", matches).replace("{{", "{").replace("}}", "}")))
         matches = f"{out}{i}"
     return df.withColumnRenamed(matches, out)
@@ -116,26 +120,53 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return saved(found, "pii-entities")
 
 
-def nonce_for(found: DataFrame, key: str, tries: int = 4) -> int:
-    """The first nonce without collisions: surrogates all distinct and none of them an entity of the corpus.
+def _values(m: str, kind: str) -> str:
+    """SQL for a bound of the number of values of entity m's shape (of a name, without title and last letter)."""
+    moved = f"IF({kind} = 'name', regexp_replace(left({m}, length({m}) - 1), '^{_TITLE}[.]? ', ''), {m})"
+    return f"aggregate(filter(split({moved}, ''), t -> t <> ''), 1.0D, (a, t) -> a * greatest(1, length({_alphabet(kind, 't')})))"
+
+
+def collided(found: DataFrame, key: str, width: int = 16) -> DataFrame | None:
+    """m, sur of the entities whose own surrogate is an entity of the corpus or another's; None if there are none.
 
-    Beyond `tries` (small shapes of a large corpus can't avoid each other's originals) the last is taken: it
-    still keeps distinctness and coreference, which hold by construction.
+    Each takes the first surrogate of the further nonces that is no entity and not taken; the number of nonces tried
+    at once doubles until all have one. Only where more nonces were tried than 64 times the values
+    of an entity's shape is none of them free (all are entities or taken); it then keeps its own surrogate.
     """
-    for nonce in range(tries):
-        s = saved(_replaced(found.select(F.array("m").alias("_m")), "_m", f"{key}/{nonce}", "_s").select(F.col("_s")[0]["sur"].alias("sur")), "pii-surrogates")
-        twice = s.groupBy("sur").count().filter("count > 1")
-        real = s.join(found.select(F.col("m").alias("sur")), "sur", "left_semi")
-        if twice.isEmpty() and real.isEmpty():
-            return nonce
-    return tries - 1
+    one = lambda df, secret: _replaced(df.withColumn("_m", F.array("m")), "_m", secret, "_s").withColumn("sur", F.col("_s")[0]["sur"])
+    s = saved(one(found.select("m"), _quoted(f"{key}/0")).select("m", "sur"), "pii-surrogates")
+    real = found.select(F.col("m").alias("sur"))
+    twice = s.groupBy("sur").agg(F.count("*").alias("n"), F.min("m").alias("first")).filter("n > 1")
+    if twice.isEmpty() and s.join(real, "sur", "left_semi").isEmpty():
+        return None
+    again = s.join(twice, "sur").filter("m <> first").select("m")
+    left = saved(s.join(real, "sur", "left_semi").select("m").union(again).distinct(), "pii-collided")
+    taken = s.join(left, "m", "left_anti").select("sur")
+    done, start = None, 1
+    while not left.isEmpty():
+        tried = one(left.select("m", F.explode(F.sequence(F.lit(start), F.lit(start + width - 1))).alias("n")), f"concat({_quoted(key + '/')}, n)")
+        tried = tried.select("m", "n", "sur").join(real, "sur", "left_anti").join(taken, "sur", "left_anti")
+        won = tried.groupBy("sur").agg(F.min(F.struct("n", "m")).alias("w")).groupBy("w.m").agg(F.min(F.struct("w.n", "sur")).alias("v"))
+        won = saved(won.select("m", F.col("v.sur").alias("sur")), "pii-resolved")
+        done = won if done is None else done.unionByName(won)
+        taken = taken.union(won.select("sur"))
+        start, width = start + width, 2 * width
+        size = f"64 * {_values('m', 'kind')} > {start}"
+        left = saved(left.join(won, "m", "left_anti").withColumn("kind", F.expr(_kind("m"))).filter(size).select("m"), "pii-collided")
+    return done
 
 
 def pseudonymized(docs: DataFrame, text_col: str = "text", *, key: str = "evidentia") -> DataFrame:
     """The documents with every entity replaced; columns as given plus _n_entities and _kinds (kinds found, sorted)."""
-    nonce = nonce_for(entities(docs, text_col), key)
+    other = collided(entities(docs, text_col), key)
     t = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_t"), _matches(text_col).alias("_m"))
-    t = _replaced(t, "_m", f"{key}/{nonce}", "_s")
+    t = _replaced(t, "_m", _quoted(f"{key}/0"), "_s")
+    if other is not None:
+        # by the documents' arrays of entities, so that only those with such an entity are grouped
+        lists = docs.select(_matches(text_col).alias("_m")).filter(F.size("_m") > 0).select("_m", F.explode(F.array_distinct("_m")).alias("m"))
+        lists = lists.join(other, "m").groupBy("_m").agg(F.map_from_entries(F.collect_set(F.struct("m", "sur"))).alias("_o"))
+        t = t.join(saved(lists, "pii-lists"), "_m", "left")
+        t = t.withColumn("_s", F.transform("_s", lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), F.coalesce(F.element_at("_o", s["m"]), s["sur"]).alias("sur"))))
     gaps = F.split("_t", ENTITY, -1)
     text = F.when(F.size("_m") > 0, F.array_join(F.zip_with(gaps, "_s", lambda g, s: F.concat(F.coalesce(g, F.lit("")), F.coalesce(s["sur"], F.lit("")))), "")).otherwise(F.col("_t"))
     return t.select(*(text.alias(c) if c == text_col else F.col("_doc").getField(c).alias(c) for c in docs.columns), F.size("_m").alias("_n_entities"), F.array_sort(F.array_distinct(F.transform("_s", lambda s: s["kind"]))).alias("_kinds"))

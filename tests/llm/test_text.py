@@ -297,3 +297,22 @@ def test_every_pattern_is_found_alone(spark):
     docs = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
     got = {r.doc_id: r for r in pii.pseudonymized(docs).collect()}
     assert [(alone[i], got[i]._n_entities, got[i].text != alone[i]) for i in got] == [(alone[i], 1, True) for i in got]
+
+
+def test_surrogates_are_no_real_values_of_a_dense_corpus(spark):
+    """A third of a small shape's values are real: no nonce is free of collisions, each entity still gets a value that isn't real."""
+    ips = [f"{a}.{b}.{c}.7" for a in range(10) for b in range(10) for c in range(10)] + [f"{a}.{b}.{c}.3" for a in range(10) for b in range(10) for c in range(10)]
+    ips = ips + [f"{a}.{b}.{c}.5" for a in range(10) for b in range(10) for c in range(10)]
+    texts = [f"from {i} and {i} to {j}." for i, j in zip(ips, ips[1:] + ips[:1])]
+    got = [r.text for r in pii.pseudonymized(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    seen = {}
+    for old, new in zip(texts, got):
+        for x, y in zip(re.findall(r"[0-9.]+[0-9]", old), re.findall(r"[0-9.]+[0-9]", new)):
+            assert seen.setdefault(x, y) == y
+    assert len(seen) == len(set(seen.values())) == 3000 and not set(seen) & set(seen.values())
+
+
+def test_surrogates_of_a_full_shape_stay_distinct(spark):
+    texts = [f"Mr {v}b" for v in "AEIOU"] + ["Dr. Wu"]
+    got = [r.text for r in pii.pseudonymized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert len(set(got)) == len(texts) and got[5] != "Dr. Wu"
