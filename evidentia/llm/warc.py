@@ -2,7 +2,9 @@
 
 Writing gives one gzip member per record and an index row (file, offset, length, url,
 digest, type). Reading starts from the index: the selected rows are range-partitioned and
-sorted by (file, offset), neighbouring ranges are merged and each merged span is one read.
+sorted by (file, offset), neighbouring ranges are merged and each merged span is one read, whose
+records are unpacked one at a time. Bodies are written where they are scanned; only those whose digest is repeated
+(and a few that a filter of fixed size takes for such) go through the join that finds their response.
 
 Defined results: a null payload is the empty payload; a null id is archived without an id
 and never chosen as a group's response unless the whole group has none (then all are
@@ -26,6 +28,8 @@ from .common import file_system, saved, scratch, shuffle_width, table
 INDEX = "page_id long, url string, digest string, record_type string, file string, offset long, length long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _URN = "urn:evidentia:page:"
+#: Bits of the filter of repeated digests: 16 MB.
+FILTER_BITS = 1 << 27
 
 
 def digest32(payload: bytes) -> str:
@@ -73,11 +77,20 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
     Only ids and digests decide the responses; a hot digest's join rows are split by AQE's skew join.
     A task names its files afresh, so a repeated task never damages files an index row points to.
     """
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("body"))
-    keyed = base.withColumn("key", F.sha2("body", 256))
-    size = F.length("body")
-    first = keyed.filter(size >= min_revisit_bytes).groupBy("key").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = keyed.join(first, "key", "left").select("page_id", "url", "body", F.when(F.col("winner").isNotNull() & ~F.col("winner").eqNullSafe(F.col("page_id")) & (size >= min_revisit_bytes), F.col("winner")).alias("refers_to"))
+    spark = pages.sparkSession
+    keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("body")).withColumn("key", F.sha2("body", 256))
+    first = keyed.filter(F.length("body") >= min_revisit_bytes).groupBy("key").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1")
+    first = saved(first.select("key", "winner"), "warc-repeated")
+    place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    # FILTER_BITS / 8 bytes however many digests are repeated; a filter that fills up only sends more rows to the join
+    marks = first.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("marks"))
+    at = F.bitmap_bit_position("p")
+    marked = F.substring("marks", (F.floor(at / 8) + 1).cast("int"), F.lit(1))
+    bit = F.conv(F.hex(marked), 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0
+    met = keyed.withColumn("p", place).withColumn("bucket", F.bitmap_bucket_number("p")).join(F.broadcast(marks), "bucket", "left").withColumn("maybe", F.coalesce(bit, F.lit(False)))
+    alone = met.filter("NOT maybe").select("page_id", "url", "body", F.lit(None).cast("long").alias("refers_to"))
+    repeated = met.filter("maybe").join(first, "key", "left")
+    repeated = repeated.select("page_id", "url", "body", F.when(F.col("winner").isNotNull() & ~F.col("winner").eqNullSafe(F.col("page_id")) & (F.length("body") >= min_revisit_bytes), F.col("winner")).alias("refers_to"))
 
     def write(batches):
         import pyarrow as pa
@@ -88,7 +101,9 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
         try:
             for batch in batches:
                 index = []
-                for page_id, url, body, refers in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                ids, urls, bodies, refs = batch.columns
+                for i in range(batch.num_rows):
+                    page_id, url, body, refers = ids[i].as_py(), urls[i].as_py(), bodies[i].as_py(), refs[i].as_py()
                     if out is None or at >= roll_bytes:
                         if out is not None:
                             out.close()
@@ -107,11 +122,14 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
             if out is not None:
                 out.close()
 
-    return saved(rows.mapInArrow(write, INDEX), "warc-index")
+    return saved(alone.mapInArrow(write, INDEX).unionByName(repeated.mapInArrow(write, INDEX)), "warc-index")
 
 
-def read_archives(index: DataFrame, root: str, *, payloads: bool = False, gap: int = 64 << 10, span: int = 8 << 20) -> DataFrame:
-    """Records of the selected index rows. Ranges at most `gap` bytes apart are read together, up to `span` bytes."""
+def read_archives(index: DataFrame, root: str, *, payloads: bool = False, gap: int = 64 << 10, span: int = 4 << 20, held_bytes: int = 8 << 20) -> DataFrame:
+    """Records of the selected index rows. Ranges at most `gap` bytes apart are read together, up to `span` bytes.
+
+    A task holds one read's packed bytes, one record unpacked from it and, with `payloads`, `held_bytes` of payloads (or one).
+    """
     wanted = index.select("file", "offset", "length").repartitionByRange(shuffle_width(index.sparkSession), "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches):
@@ -124,19 +142,25 @@ def read_archives(index: DataFrame, root: str, *, payloads: bool = False, gap: i
         def fetch(handle, run):
             begin = run[0][0]
             handle.seek(begin)
-            data = handle.read(run[-1][0] + run[-1][1] - begin)
-            found = [parse_record(zlib.decompress(data[o - begin : o - begin + n], 31)) for o, n in run]
-            if not payloads:
-                for x in found:
-                    x["payload"] = None
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], k) for c, k in zip(names, kinds)], names=names)
+            data = memoryview(handle.read(run[-1][0] + run[-1][1] - begin))
+            found, held = [], 0
+            for k, (o, n) in enumerate(run, 1):
+                record = parse_record(zlib.decompress(data[o - begin : o - begin + n], 31))
+                if payloads:
+                    held += len(record["payload"] or b"")
+                else:
+                    record["payload"] = None
+                found.append(record)
+                if held >= held_bytes or k == len(run):
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], k) for c, k in zip(names, kinds)], names=names)
+                    found, held = [], 0
 
         opened, handle, run = None, None, []
         for batch in batches:
             for file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 far = run and (file != opened or offset - sum(run[-1]) > gap or offset + length - run[0][0] > span)
                 if far:
-                    yield fetch(handle, run)
+                    yield from fetch(handle, run)
                     run = []
                 if file != opened:
                     if handle is not None:
@@ -144,7 +168,7 @@ def read_archives(index: DataFrame, root: str, *, payloads: bool = False, gap: i
                     opened, handle = file, fs.open_input_file(f"{path}/{file}")
                 run.append((offset, length))
         if run:
-            yield fetch(handle, run)
+            yield from fetch(handle, run)
         if handle is not None:
             handle.close()
 
@@ -155,7 +179,7 @@ def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, read all of them back."""
     root = scratch(spark, "warc")
     index = write_archives(table(spark, sf_dir, "pages"), root)
-    return read_archives(index, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return saved(read_archives(index, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
 
 
 _B32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> {s}) & 31)::INTEGER, 1)"
