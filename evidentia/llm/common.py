@@ -90,9 +90,12 @@ class Workspace:
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """Write the result outside of the workspace, which ends with it."""
         out = saved(df, name)
-        deleted(self.spark, self.base)
+        self.close()
         return out
 
+    def close(self) -> None:
+        deleted(self.spark, self.base)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

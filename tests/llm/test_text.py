@@ -37,10 +37,24 @@ def test_quality_rules_by_line(spark):
     assert "Home" not in got[1] and "licensed" not in got[3]
 
 
+def test_notices_and_menus_by_language(spark):
+    prose = {"en": "The river rose in spring, and the lower fields were under water for a week.", "fr": "La rivière monta au printemps, et les champs furent sous l'eau une semaine.", "de": "Der Fluss stieg im Frühling, und die Felder standen eine Woche unter Wasser.", "es": "El río creció en primavera, y los campos estuvieron una semana bajo el agua."}
+    notices = {"en": ["All rights reserved.", "Read our privacy policy before you go on to the next of these pages, please."], "fr": ["Tous droits réservés.", "MENTIONS LÉGALES et politique de confidentialité de ce site, pour tous ses lecteurs."], "de": ["Alle Rechte vorbehalten.", "Lesen Sie unsere Datenschutzerklärung, bevor Sie auf dieser Seite weiter lesen wollen."], "es": ["Todos los derechos reservados.", "POLÍTICA DE COOKIES y aviso legal de esta página, para todos los que la leen hoy."]}
+    menu = "Home\nAbout\nContact us\nNews and press\nLog in"
+    rows = []
+    for k, lang in enumerate(prose):
+        n = "\n".join(notices[lang])
+        rows += [(10 * k, f"{prose[lang]}\n{n}"), (10 * k + 1, n), (10 * k + 2, f"{menu}\n{prose[lang]}"), (10 * k + 3, "\n".join([menu] * 3)), (10 * k + 4, f"One\nTwo\n{prose[lang]}")]
+    got = {r.doc_id: r.text for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, lang in enumerate(prose):
+        assert got[10 * k] == got[10 * k + 2] == prose[lang] and got[10 * k + 4].startswith("One\nTwo\n")
+        assert 10 * k + 1 not in got and 10 * k + 3 not in got
+
+
 def test_surrogates(spark, odd_docs, no_docs):
     texts = ["a jane.doe42@mail.example.com b, 10.0.0.255. and +1 (743) 555-3824 x", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" 4111111111111111', "Mrs. Smith met Mr Jones; Mrs. Smith again. Г-н Иванов", "DE89 3704 0044 0532 0130 00 and 123-45-6789", "jane.doe42@mail.example.com", "none 12 here 2020-11-11"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymized(docs).collect()}
+    out = {r.doc.doc_id: r for r in pii.rewritten(docs, key="k").collect()}
     for i, t in enumerate(texts):
         new = out[i].text
         assert len(new) == len(t) and re.sub(r"\w", "w", new) == re.sub(r"\w", "w", t)
@@ -52,18 +66,18 @@ def test_surrogates(spark, odd_docs, no_docs):
     card = re.search(r"\d{16}", out[1].text).group()
     assert sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(card))) % 10 == 0
     assert all(int(x) <= 255 for x in re.search(r"\d+\.\d+\.\d+\.\d+", out[0].text).group().split("."))
-    assert out[5].text == texts[5] and out[5]._n_entities == 0
+    assert out[5].text == texts[5] and out[5].n_entities == 0
     other = {r.doc_id: r.text for r in pii.pseudonymized(docs, key="else").collect()}
     assert other[4] != out[4].text
-    odd = pii.pseudonymized(odd_docs)
-    assert odd.columns[: len(odd_docs.columns)] == odd_docs.columns
+    odd = pii.pseudonymized(odd_docs, key="k")
+    assert odd.columns == odd_docs.columns
     assert sorted(str((r.doc_id, len(r.text or ""), r.text is None)) for r in odd.collect()) == sorted(str((r.doc_id, len(r.text or ""), r.text is None)) for r in odd_docs.collect())
-    assert pii.pseudonymized(no_docs).count() == 0
+    assert pii.pseudonymized(no_docs, key="k").count() == 0
 
 
 def test_surrogates_are_distinct(spark):
     cards = spark.range(3000).selectExpr("id AS doc_id", "lpad(cast(id AS string), 13, '0') AS text")
-    got = [r.text for r in pii.pseudonymized(cards).collect()]
+    got = [r.text for r in pii.pseudonymized(cards, key="k").collect()]
     assert len(set(got)) == 3000
 
 
@@ -295,8 +309,8 @@ def test_every_pattern_is_found_alone(spark):
     """One entity of each pattern, alone in its text and without adjacent digits where the pattern allows that."""
     alone = ["a.b@c.org", "a1b2c3d4" * 4, "A1B2C3D4" * 4, "abcdefab" * 4, "AKIA" + "Q7ZB" * 4, "AKIA" + "QWERTZUI" * 2, "ghp_" + "aB3d" * 9, "gho_" + "abcD" * 9, "sk-" + "x9Yz" * 8, "sk-" + "abcdE" * 4, "1.2.3.4", "GB29 NWBK AAAA BBBB CCCC", "+1 555 0100 200", "(212) 555-0100", "212-555-0100", "123-45-6789", "4111 1111 1111 1111", "4111111111111111", "Dr. Smith", "Г-н Иванов"]
     docs = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.pseudonymized(docs).collect()}
-    assert [(alone[i], got[i]._n_entities, got[i].text != alone[i]) for i in got] == [(alone[i], 1, True) for i in got]
+    got = {r.doc.doc_id: r for r in pii.rewritten(docs, key="k").collect()}
+    assert [(alone[i], got[i].n_entities, got[i].text != alone[i]) for i in got] == [(alone[i], 1, True) for i in got]
 
 
 def test_surrogates_are_no_real_values_of_a_dense_corpus(spark):
@@ -304,7 +318,7 @@ def test_surrogates_are_no_real_values_of_a_dense_corpus(spark):
     ips = [f"{a}.{b}.{c}.7" for a in range(10) for b in range(10) for c in range(10)] + [f"{a}.{b}.{c}.3" for a in range(10) for b in range(10) for c in range(10)]
     ips = ips + [f"{a}.{b}.{c}.5" for a in range(10) for b in range(10) for c in range(10)]
     texts = [f"from {i} and {i} to {j}." for i, j in zip(ips, ips[1:] + ips[:1])]
-    got = [r.text for r in pii.pseudonymized(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.pseudonymized(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), key="k").orderBy("doc_id").collect()]
     seen = {}
     for old, new in zip(texts, got):
         for x, y in zip(re.findall(r"[0-9.]+[0-9]", old), re.findall(r"[0-9.]+[0-9]", new)):
@@ -314,5 +328,5 @@ def test_surrogates_are_no_real_values_of_a_dense_corpus(spark):
 
 def test_surrogates_of_a_full_shape_stay_distinct(spark):
     texts = [f"Mr {v}b" for v in "AEIOU"] + ["Dr. Wu"]
-    got = [r.text for r in pii.pseudonymized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.pseudonymized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").orderBy("doc_id").collect()]
     assert len(set(got)) == len(texts) and got[5] != "Dr. Wu"
