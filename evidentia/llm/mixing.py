@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, table
+from .common import WORD, Workspace, saved, table
 
 #: Documents of one (source, size) that one task ranks.
 SHARE = 1_000
@@ -42,14 +42,18 @@ def source_targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
     return s.select("_src", "source_size", "_n", target.alias("target"))
 
 
-def tilted(hist: DataFrame, targets: DataFrame, cap: int = 3, rounds: int = 42, tolerance: float = 1e-9) -> DataFrame:
-    """targets with _lambda and _scale: safeguarded Newton on the dual of each source, all sources at once."""
-    state = saved(
+def tilted(hist: DataFrame, targets: DataFrame, cap: int = 3, tolerance: float = 1e-9, most: int = 300, ws: Workspace | None = None) -> DataFrame:
+    """targets with _lambda and _scale: safeguarded Newton on the dual of each source, all sources at once.
+
+    A source is done at its target, or when its bracket can't be halved any more. Raises if `most` steps are not enough.
+    """
+    ws = ws or Workspace(hist.sparkSession, "mix")
+    state = ws.saved(
         targets.filter("source_size > 0").withColumn("_scale", F.col("source_size") / F.col("_n"))
         .withColumns({"_lambda": F.lit(0.0), "_lo": F.lit(None).cast("double"), "_hi": F.lit(None).cast("double"), "_done": F.col("target") >= cap * F.col("source_size")}),
         "mix-dual",
     )
-    for k in range(rounds):
+    for k in range(most):
         x = F.col("_size") / F.col("_scale")
         rate = F.exp(F.least(F.col("_lambda") * x, F.lit(50.0)))
         free = rate < cap
@@ -67,21 +71,23 @@ def tilted(hist: DataFrame, targets: DataFrame, cap: int = 3, rounds: int = 42,
         split = F.when(lo.isNotNull() & hi.isNotNull(), (lo + hi) / 2).when(low, F.col("_lambda") * 2 + 1).otherwise(F.col("_lambda") * 2 - 1)
         good = step.isNotNull() & (lo.isNull() | (step > lo)) & (hi.isNull() | (step < hi)) & (F.abs(step - F.col("_lambda")) <= 4 + F.abs(F.col("_lambda")))
         moved = F.when(F.col("_done") | met, F.col("_lambda")).when(good, step).otherwise(split)
-        state = s.select("_src", "source_size", "_n", "target", "_scale", moved.alias("_lambda"), F.coalesce(lo, "_lo").alias("_lo"), F.coalesce(hi, "_hi").alias("_hi"), (F.col("_done") | met).alias("_done"))
+        narrow = F.coalesce(hi - lo <= 1e-15 * F.greatest(F.abs(lo), F.abs(hi)), F.lit(False))
+        state = s.select("_src", "source_size", "_n", "target", "_scale", moved.alias("_lambda"), F.coalesce(lo, "_lo").alias("_lo"), F.coalesce(hi, "_hi").alias("_hi"), (F.col("_done") | met | narrow).alias("_done"))
         if k % 3 == 2:  # three steps make one table
-            state = saved(state, "mix-dual")
+            state = ws.saved(state, "mix-dual", over=True)
             if state.filter("NOT _done").isEmpty():
-                break
-    return state
+                return state
+    raise RuntimeError(f"the dual has not converged in {most} steps")
 
 
-def copies_by_size(hist: DataFrame, state: DataFrame, cap: int = 3, passes: int = 4) -> DataFrame:
+def copies_by_size(hist: DataFrame, state: DataFrame, cap: int = 3, passes: int = 4, ws: Workspace | None = None) -> DataFrame:
     """hist with _copies: copies that the documents of one (source, size) take together."""
+    ws = ws or Workspace(hist.sparkSession, "mix")
     w = W.partitionBy("_src").orderBy("_size")
     rate = F.when(F.col("target") >= cap * F.col("source_size"), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("_lambda") * F.col("_size") / F.col("_scale"), F.lit(50.0)))))
     h = hist.join(state.select("_src", "source_size", "target", "_lambda", "_scale"), "_src").withColumn("_sum", F.sum(F.col("_count") * rate).over(w))
     taken = F.floor(F.col("_sum") + 0.5) - F.floor(F.coalesce(F.lag("_sum").over(w), F.lit(0.0)) + 0.5)
-    h = saved(h.select("_src", "_size", "_count", "target", F.greatest(F.lit(0), F.least(taken, cap * F.col("_count"))).cast("long").alias("_copies")), "mix-copies")
+    h = ws.saved(h.select("_src", "_size", "_count", "target", F.greatest(F.lit(0), F.least(taken, cap * F.col("_count"))).cast("long").alias("_copies")), "mix-copies")
     for k in range(passes):
         left = h.groupBy("_src").agg((F.first("target") - F.sum(F.col("_copies") * F.col("_size"))).alias("_left"))
         open_rows = h.join(left, "_src").filter((F.col("_size") > 0) & (F.col("_size") <= F.abs("_left")) & F.when(F.col("_left") > 0, F.col("_copies") < cap * F.col("_count")).otherwise(F.col("_copies") > 0))
@@ -90,35 +96,60 @@ def copies_by_size(hist: DataFrame, state: DataFrame, cap: int = 3, passes: int
         change = F.signum("_left") * F.least(F.floor(F.abs("_left") / F.col("_size")), room)
         h = h.join(pick, ["_src", "_size"], "left").select("_src", "_size", "_count", "target", (F.col("_copies") + F.coalesce(change, F.lit(0))).cast("long").alias("_copies"))
         if k % 2 or k == passes - 1:
-            h = saved(h, "mix-copies")
+            h = ws.saved(h, "mix-copies", over=True)
     return h
 
 
-def decided(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row."""
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int):
+    """doc_id, _src, _size and _hash (of id and text) as columns."""
     key = F.when(F.col(source_col).isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col(source_col)))
-    sizes = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("_src"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size")), "mix-sizes")
-    hist = saved(sizes.groupBy("_src", "_size").agg(F.count("*").alias("_count")), "mix-histogram")
-    targets = saved(source_targets(sizes, cap), "mix-targets")
-    copies = copies_by_size(hist.filter("_size > 0"), tilted(hist, targets, cap), cap).select("_src", "_size", "_count", "_copies")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return [F.col(id_col).cast("long").alias("doc_id"), key.alias("_src"), size.alias("_size"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("_hash")]
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, cap: int, seed: int) -> DataFrame:
+    """doc_id, _src, _size, _hash, source_size, target, copies for every row, written."""
+    ws = Workspace(docs.sparkSession, "mix")
+    sizes = ws.saved(docs.select(*_sized(docs, id_col, text_col, source_col, seed)), "mix-sizes")
+    hist = ws.saved(sizes.groupBy("_src", "_size").agg(F.count("*").alias("_count")), "mix-histogram")
+    targets = ws.saved(source_targets(sizes, cap), "mix-targets")
+    copies = copies_by_size(hist.filter("_size > 0"), tilted(hist, targets, cap, ws=ws), cap, ws=ws).select("_src", "_size", "_count", "_copies")
     # a hot (source, size) is ranked in shares; each share takes its part of the odd copies
     d = sizes.join(copies, ["_src", "_size"], "left").join(targets.select("_src", "source_size", "target"), "_src")
     shares = F.ceil(F.col("_count") / SHARE)
-    d = d.withColumn("_hash", F.xxhash64("doc_id", F.lit(seed))).withColumn("_share", F.coalesce(F.pmod(F.col("_hash"), shares), F.pmod(F.col("_hash"), F.lit(64))))
+    d = d.withColumn("_share", F.coalesce(F.pmod(F.col("_hash"), shares), F.pmod(F.col("_hash"), F.lit(64))))
     rank = F.row_number().over(W.partitionBy("_src", "_size", "_share").orderBy("_hash", "doc_id"))
     odd = F.col("_copies") % F.col("_count")
     quota = F.floor(odd * (F.col("_share") + 1) / shares) - F.floor(odd * F.col("_share") / shares)
     each = F.floor(F.col("_copies") / F.col("_count")) + F.when(rank <= quota, 1).otherwise(0)
-    return d.select("doc_id", F.when(F.col("_src") != "2", F.substring("_src", 2, 1 << 30)).alias("source"), F.col("_size").alias("size"), "source_size", "target", F.coalesce(each, F.lit(1)).cast("int").alias("copies"))
+    return ws.result(d.select("doc_id", "_src", "_size", "_hash", "source_size", "target", F.coalesce(each, F.lit(1)).cast("int").alias("copies")), "mix-decided")
+
+
+def decided(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, seed: int = 0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for every row."""
+    d = _decided(docs, id_col, text_col, source_col, cap, seed)
+    return d.select("doc_id", F.when(F.col("_src") != "2", F.substring("_src", 2, 1 << 30)).alias("source"), F.col("_size").alias("size"), "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, seed: int = 0) -> DataFrame:
-    """The mix itself: every document as many times as it has copies; columns as given. Rows that repeat id, source and size share the larger number."""
-    plan = decided(docs, id_col=id_col, text_col=text_col, source_col=source_col, cap=cap, seed=seed).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    plan = saved(plan, "mix-plan").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"))
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_mix_own", size).join(plan.hint("merge"), F.col(id_col).eqNullSafe(F.col("_mix_id")) & F.col(source_col).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_own") == F.col("_mix_size")))
-    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    """The mix itself: every document as many times as it has copies; columns as given, whatever their names.
+
+    Rows that repeat id, text and source share the copies decided for them: some of them take one more than the others.
+    """
+    key = ["doc_id", "_src", "_size", "_hash"]
+    plan = _decided(docs, id_col, text_col, source_col, cap, seed).groupBy(key).agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count("*").alias("n")).filter("all > 0")
+    plan = saved(plan.select(*(F.col(c).alias(f"p{c}") for c in key), "least", (F.col("all") - F.col("n") * F.col("least")).alias("more"), "n"), "mix-plan")
+    rows = docs.select(F.struct("*").alias("doc"), *_sized(docs, id_col, text_col, source_col, seed))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"p{c}"))
+    alone = rows.join(plan.filter("more = 0").hint("merge"), same).select("doc", F.col("least").cast("int").alias("copies"))
+    some = plan.filter("more > 0")
+    if not some.isEmpty():
+        place = F.row_number().over(W.partitionBy(*key).orderBy("_hash"))
+        alone = alone.unionByName(rows.join(some, same).select("doc", (F.col("least") + F.when(place <= F.col("more"), 1).otherwise(0)).cast("int").alias("copies")).filter("copies > 0"))
+    found = alone.filter("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return found.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

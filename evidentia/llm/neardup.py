@@ -6,11 +6,17 @@ the second, so pieces^2 tables cost 2 * pieces * rows minhashes. Rows are dealt
 matched on the second inside their task; rows of a first piece that very many classes share are dealt by both
 pieces, so each table's bucket is still matched whole. Matches whose signatures agree too little are dropped (at a
 distance of over four standard errors from the threshold); the others join classes into clusters. Links
-are confirmed on the full shingle sets of each cluster, all pairs of it: inside a block, intersections
-come from an inverted index, and pairs already connected are skipped; a large cluster is cut into blocks
-and every pair of blocks is one group, so no task holds an unbounded cluster. Components follow from the
+are confirmed on the full shingle sets of each cluster, all pairs of it: intersections
+come from an inverted index, and pairs already connected are skipped. A large cluster is cut into blocks. Its first
+block is held against every block; members that are then in the cluster's largest component need no
+comparison among each other, and only the rest is held against all blocks, in blocks of its own. So no task holds
+an unbounded cluster, and its copies grow with the rest, not with the square of the cluster. Components follow from the
 confirmed links; no list of pairs is ever made.
 
+A link at the threshold is a candidate with probability 1 - 3e-5 for 85 % (2.5e-5 are missed by the agreement of
+signatures, 24 of 40 places, 5e-6 by the tables) and 1 - 1e-4 for 80 %; a missed one is still confirmed if
+its classes share a cluster.
+
 Defined results: null or empty text has no shingles and is linked with nothing; a text of fewer words than
 a shingle is one shingle; rows that repeat an id are one node; null ids are linked with nothing, their
 component_id is null and they are kept; an empty table gives no rows; `deduplicated` passes other columns
@@ -26,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import Workspace, table
 from .encoding import slices
 from .graphs import components
 
@@ -253,11 +259,9 @@ def _edge_batch(edges):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, pieces: int = 10, rows: int = 2, block_shingles: int = 150_000, hot: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, pieces: int = 10, rows: int = 2, block_shingles: int = 40_000, hot: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id for every row. Words are lower-cased in A-Z.
 
-    With the default 100 tables of 4 minhashes (from 40), a link at 85 % is met in some table with
-    probability 1 - 5e-6, at 80 % with 1 - 7e-5; missed ones still join if their classes share a cluster.
     First pieces of over about `hot` classes are dealt by both pieces; the edges connect the same rows either way.
     """
     hashes = 2 * pieces * rows
@@ -293,10 +297,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                         firsts.append(None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "sig", "heads"])
 
-    signed = saved(source.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, sig binary, heads array<long>"), "minhash")
+    ws = Workspace(docs.sparkSession, "near-duplicates")
+    signed = ws.saved(source.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, sig binary, heads array<long>"), "minhash")
     # one class for each distinct set; sig and heads are functions of the set
     classes = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("heads").alias("heads"))
-    classes = saved(classes, "minhash-classes")
+    classes = ws.saved(classes, "minhash-classes")
     dealt = classes.select(F.explode("heads").alias("head"), "rep", "sig")
 
     def match(batches):
@@ -334,44 +339,68 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         buckets = dealt.filter(F.col("head").isin(crowded)).select("head", "rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("j")).select(F.xxhash64("head", "j", second).alias("bucket"), "rep", "sig")
         candidates = candidates.unionByName(buckets.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(match_bucket, "a long, b long"))
     clusters = components(candidates).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    members = saved(clusters.join(classes.select("rep", "size"), "rep"), "minhash-clusters")
-    # blocks of a cluster; every pair of its blocks is a group
+    members = ws.saved(clusters.join(classes.select("rep", "size"), "rep"), "minhash-clusters")
     total = members.groupBy("cluster").agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("blocks"))
-    placed = members.join(total, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # always by a shuffle: the members grow with the corpus, so a broadcast at small sizes would only hide that
-    texts = placed.select("rep", "cluster", "blocks", "block").hint("merge").join(source.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep"), "rep")
+    placed = ws.saved(members.join(total, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "minhash-placed")
+    reps = source.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep")
 
     def shingles(batches):
         import pyarrow as pa
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                flat, sizes = shingle_sets([t or "" for t in batch.column(4).to_pylist()], shingle)
+                flat, sizes = shingle_sets([t or "" for t in batch.column(3).to_pylist()], shingle)
                 ends = np.cumsum(sizes)
                 sets = [flat[e - n : e].tobytes() for n, e in zip(sizes, ends)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["rep", "cluster", "blocks", "block", "set"])
-
-    full = texts.mapInArrow(shingles, "rep long, cluster long, blocks int, block int, set binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    grouped = full.select("rep", "cluster", "block", "set", other).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "block", "set")
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], names=["rep", "cluster", "at", "set"])
 
     def confirm(batches):
         found = []
-        for run in _runs(_narrow(batches), 3):
+        for run in _runs(_narrow(batches), 2):
             if run.num_rows < 2:
                 continue
-            lo, hi = run.column(1)[0].as_py(), run.column(2)[0].as_py()
-            left = None if lo == hi else run.column(4).to_numpy() == lo
-            found += set_edges(run.column(3).to_numpy(), [np.frombuffer(s, np.uint64) for s in run.column(5).to_pylist()], left, percent)
+            left = run.column(3).to_numpy(zero_copy_only=False)
+            if not left.any():
+                continue
+            found += set_edges(run.column(2).to_numpy(), [np.frombuffer(s, np.uint64) for s in run.column(4).to_pylist()], None if left.all() else left, percent)
             if len(found) > 50_000:
                 yield _edge_batch(found)
                 found = []
         yield _edge_batch(found)
 
-    links = grouped.repartition(n_parts, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(confirm, "a long, b long")
-    found = saved(components(links).select(F.col("node").alias("rep"), "component"), "minhash-components")
+    def confirmed(dealt):
+        """Links inside the groups that `dealt` (rep, cluster, at: array of (group, left)) puts its rows into; rows of one group that are
+        all left are compared with each other, else only left ones with others."""
+        # always by a shuffle: the members grow with the corpus, so a broadcast at small sizes would only hide that
+        full = dealt.hint("merge").join(reps, "rep").select("rep", "cluster", "at", "text")
+        full = full.mapInArrow(shingles, "rep long, cluster long, at array<struct<g: int, l: boolean>>, set binary")
+        grouped = full.select("cluster", "rep", "set", F.explode("at").alias("g")).select("cluster", "g.g", "rep", "g.l", "set")
+        return grouped.repartition(n_parts, "cluster", "g").sortWithinPartitions("cluster", "g").mapInArrow(confirm, "a long, b long")
+
+    def entry(group, left):
+        return F.struct(group.cast("int").alias("g"), left.alias("l"))
+
+    # the first block is a member of every block's group
+    own = F.when(F.col("block") > 0, F.array(entry(F.col("block"), F.lit(True)))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: entry(k, F.lit(True))))
+    links = ws.saved(confirmed(placed.select("rep", "cluster", own.alias("at"))), "minhash-links")
+    several = placed.filter("blocks > 2")
+    if not several.isEmpty():
+        so_far = components(links).withColumnRenamed("node", "rep")
+        parts = ws.saved(several.join(so_far, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "minhash-parts")
+        size = parts.groupBy("cluster", "component").agg(F.sum("size").alias("n"))
+        main = size.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("m"), F.ceil((F.sum("n") - F.max("n")) / block_shingles).cast("int").alias("rests")).filter("rests > 0")
+        parts = parts.join(main, "cluster").withColumn("in_rest", F.col("component") != F.col("m.component"))
+        # group = rest block * blocks + block: the rest block's rows are left, the block's others are not; a rest row meets another rest row as one of them in the smaller one's group
+        mine = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rests"))
+        asks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: entry(mine * F.col("blocks") + k, F.lit(True)))
+        meets = F.transform(F.filter(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: ~F.col("in_rest") | (r != mine)), lambda r: entry(r * F.col("blocks") + F.col("block"), F.lit(False)))
+        among = F.array(entry(-1 - mine, F.lit(True)))
+        at = F.when(F.col("in_rest"), F.concat(asks, meets, among)).otherwise(meets)
+        links = links.unionByName(ws.saved(confirmed(parts.select("rep", "cluster", at.alias("at")).filter(F.size("at") > 0)), "minhash-rest-links"))
+    found = components(links).select(F.col("node").alias("rep"), "component")
     named = classes.select("set_key", "rep").join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    return signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    result = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return ws.result(result, "near-duplicates")
 
 
 def _narrow(batches, limit: int = 32 << 20):
@@ -383,10 +412,11 @@ def _narrow(batches, limit: int = 32 << 20):
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The documents without those that have a near duplicate of a smaller id; columns as given."""
+    """The documents without those that have a near duplicate of a smaller id; columns as given, whatever their names."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
-    gone = saved(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "minhash-gone")
-    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(gone.hint("merge"), "id", "left_anti").select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

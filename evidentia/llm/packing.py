@@ -215,20 +215,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, cap: int = 2048, end_id: int
     return rows.mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
 
 
-def pack(parts: DataFrame, *, cap: int = 2048, salts: int = 64) -> DataFrame:
+def pack(parts: DataFrame, *, cap: int = 2048, share: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns doc_id, piece, length at least; a table in the shared folder).
 
-    Ranks within a length come from `salts` shares of it, so that no length is ranked in one task;
-    the shares' first ranks are a table of `cap` * `salts` rows at most, which is broadcast.
+    A length is ranked in shares of about `share` pieces, as many as its count asks for, so that no length is ranked
+    in one task. The lengths' counts (`cap` rows at most) go to the driver, and their numbers of shares are broadcast.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))
-    salted = parts.withColumn("_salt", salt)
-    sizes = salted.groupBy("length", "_salt").count()
-    firsts = sizes.withColumn("_first", F.sum("count").over(W.partitionBy("length").orderBy("_salt")) - F.col("count")).drop("count")
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = places(best_plan(counts, cap)) if counts else {}
-    rank = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("_rank", rank).join(F.broadcast(firsts), ["length", "_salt"]).withColumn("_rank", (F.col("_rank") + F.col("_first")).cast("long")).drop("_salt", "_first")
+    shares = F.broadcast(parts.sparkSession.createDataFrame([(s, -(-n // share)) for s, n in counts.items()], "length int, _shares int"))
+    salted = parts.join(shares, "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_shares")))
+    sizes = salted.groupBy("length", "_salt").count()
+    firsts = sizes.select("length", "_salt", (F.sum("count").over(W.partitionBy("length").orderBy("_salt")) - F.col("count")).alias("_first"))
+    # rows that are equal in every column may change places, no others
+    rank = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece", *(c for c in parts.columns if c not in ("doc_id", "piece")))) - 1
+    ranked = salted.withColumn("_rank", rank).join(firsts, ["length", "_salt"]).withColumn("_rank", (F.col("_rank") + F.col("_first")).cast("long"))
     names = parts.columns
 
     def place(batches):

@@ -6,8 +6,8 @@ its segments are kept; |q - x|^2 is at least the sum over segments of length * (
 product + deviation product). Resolutions go from coarse to fine; what stays above the running
 k-th best score gets its exact score.
 
-Queries are written once in blocks to the shared folder; each task streams them past its own block
-of candidates, so a task holds one block of each. A first pass over a fixed number of candidates gives
+Queries are written once in blocks to the shared folder; each task streams them past a few blocks of
+candidates that it holds, and each block's scores raise the floor for the next one. A first pass over a fixed number of candidates gives
 each query a score its k-th best can't be under; it only prunes, and can't change results.
 
 Defined results: null vectors and vectors with null or non-finite components take no part; rows that
@@ -28,6 +28,8 @@ from pyspark.sql import Window as W
 
 from .common import file_system, publish, saved, scratch, table
 
+#: Blocks of candidates that a task holds while the queries go past.
+HELD = 8
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -161,22 +163,41 @@ def top_k(queries: DataFrame, vectors: DataFrame, *, k: int = 20, scale: int = 6
         import pyarrow as pa
 
         fs, path = file_system(root)
+
+        def against(held):
+            """The k best of the held blocks for every query; each block raises the floor for the next one."""
+            for name in files:
+                dim = int(name.split("-")[0])
+                mine = [x[dim] for x in held if dim in x]
+                if not mine:
+                    continue
+                with fs.open_input_file(f"{path}/{name}") as f:
+                    asked = np.load(io.BytesIO(f.read()))
+                ids, m, floors = asked["ids"], asked["m"], asked["floor"]
+                for lo in range(0, len(ids), 512):
+                    qid, q, floor = ids[lo : lo + 512], m[lo : lo + 512], floors[lo : lo + 512].copy()
+                    rows, found, score = (np.zeros(0, np.int64) for _ in range(3))
+                    for xid, xm in mine:
+                        r, c, s = search_block(qid, q, floor, xid, xm, k)
+                        rows, found, score = np.append(rows, r), np.append(found, xid[c]), np.append(score, s)
+                        order = np.lexsort((found, -score, rows))
+                        rows, found, score = rows[order], found[order], score[order]
+                        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+                        best = place < k
+                        kth = place == k - 1
+                        floor[rows[kth]] = np.maximum(floor[rows[kth]], score[kth].astype(np.float64) * (1 - 1e-9 * np.sign(score[kth])))
+                        rows, found, score = rows[best], found[best], score[best]
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+        held = []
         for whole in batches:
             for at in range(0, whole.num_rows, 2 * block):
-                found = _vectors(whole.slice(at, 2 * block))
-                for name in files:
-                    dim = int(name.split("-")[0])
-                    if dim not in found:
-                        continue
-                    with fs.open_input_file(f"{path}/{name}") as f:
-                        held = np.load(io.BytesIO(f.read()))
-                    ids, m, floor = held["ids"], held["m"], held["floor"]
-                    xid, xm = found[dim]
-                    for lo in range(0, len(ids), 512):
-                        hi = lo + 512
-                        r, c, s = search_block(ids[lo:hi], m[lo:hi], floor[lo:hi], xid, xm, k)
-                        if len(r):
-                            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][r]), pa.array(xid[c]), pa.array(s)], names=["query_id", "vec_id", "score"])
+                held.append(_vectors(whole.slice(at, 2 * block)))
+                if len(held) == HELD:
+                    yield from against(held)
+                    held = []
+        yield from against(held)
 
     hits = x.mapInArrow(scan, HITS)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

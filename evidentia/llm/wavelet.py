@@ -167,9 +167,11 @@ def write_shards(docs: DataFrame, root: str, tokenizer_path: str, *, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()])], names=["part", "seq", "file", "docs", "tokens"])
 
     shards = saved(rows.mapInArrow(write, "part long, seq long, file string, docs long, tokens long"), "token-shards")
-    # one row per shard of millions of tokens: a running sum over the whole catalogue is small
-    before = F.sum("tokens").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1))
-    return shards.withColumn("first_token", F.coalesce(before, F.lit(0)))
+    # first the tasks' totals, one row for each partition of the range; then a running sum inside each
+    parts = shards.groupBy("part").agg(F.sum("tokens").alias("n"))
+    firsts = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    inside = F.sum("tokens").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    return shards.join(firsts, "part").withColumn("first_token", F.col("first") + F.coalesce(inside, F.lit(0))).drop("first")
 
 
 def read_shards(catalogue: DataFrame, root: str) -> DataFrame:
@@ -189,7 +191,7 @@ def read_shards(catalogue: DataFrame, root: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts + first), pa.array(shard.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return saved(spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long"), "token-documents")
 
 
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,21 @@ def test_token_queries(spark, sf):
         elif name == "op4_packing":
             for r in got:
                 assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
-            assert sum(r.length for r in got) == sum(map(len, ids.values()))
+            by_doc, by_sequence = {}, {}
+            for r in got:
+                by_doc.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+                by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            for doc, cut in by_doc.items():
+                n, cut = len(ids[doc]), sorted(cut)
+                first = n % 2048 or 2048
+                assert cut == [(k, max(0, first + 2048 * (k - 1)), first if k == 0 else 2048) for k in range(-(-n // 2048))]
+            for held in by_sequence.values():
+                at = 0
+                for offset, length in sorted(held):
+                    assert offset == at
+                    at += length
+                assert at <= 2048
+            assert len(by_doc) == len(ids) and len(by_sequence) <= -(-sum(map(len, ids.values())) // 2048) + 1
         else:
             assert {r.doc_id: r.n_tokens for r in got} == {i: len(x) for i, x in ids.items()}
             assert all(r.over_limit == (r.n_tokens > 512) for r in got)

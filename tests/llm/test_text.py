@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.llm import graphs, mixing, neardup, pii, quality, substring, topk
 
@@ -113,6 +114,21 @@ def test_mixing(spark, odd_docs, no_docs):
     assert mixing.decided(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
 
 
+def test_rows_that_repeat_take_the_copies_decided(spark):
+    rng = random.Random(6)
+    rows = [(i % 40, " ".join(["w"] * (1 + i % 40)), "ab"[i % 40 % 2], i) for i in range(400)] + [(None, " ".join(["w"] * rng.randrange(1, 9)), None, i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _src int").withColumn("copies", F.lit(5)).withColumn("least", F.lit(6))
+    want = defaultdict(int)
+    for r in mixing.decided(docs).collect():
+        want[r.source] += r.copies * r.size
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = defaultdict(int)
+    for r in out.collect():
+        got[r.source] += len(r.text.split())
+    assert got == {s: n for s, n in want.items() if n}
+
+
 def _components(texts, size, percent):
     sets = {}
     for i, t in texts.items():
@@ -287,6 +303,42 @@ def test_spanning_edges_connect_as_all_links_do():
         assert len(got) == n - len(_parts(n, links))
 
 
+def test_chains_of_links_stay_whole(spark):
+    """150 groups of 12 texts, each a chain whose neighbours alone are linked (92 of 108 shingles shared)."""
+    rng = random.Random(12)
+    texts = {}
+    ids = rng.sample(range(10_000), 1800)
+    for g in range(150):
+        words = [f"g{g}w{k}" for k in range(102 + 8 * 11)]
+        for k in range(12):
+            texts[ids[12 * g + k]] = " ".join(words[8 * k : 8 * k + 102])
+    want = {i: min(ids[12 * g : 12 * g + 12]) for g in range(150) for i in ids[12 * g : 12 * g + 12]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (40_000, 250):
+        got = neardup.near_duplicates(docs, shingle=3, percent=85, block_shingles=block).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_a_cluster_of_several_components(spark, monkeypatch):
+    """A large cluster that isn't one component: its rest is held against all blocks."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = {}
+    for i in range(240):  # groups at 0.70 to 0.99 of each other, all within the signatures' tolerance
+        w = list(base)
+        for k in range(0, 5 * (i % 4), 1):
+            w[10 + 6 * k % 90] = f"v{i % 4}x{k}"
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**9)}"
+        texts[i] = " ".join(w)
+    want, _ = _components(texts, 3, 85)
+    assert len(set(want.values())) > 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (40_000, 2_000, 300):
+        got = neardup.near_duplicates(docs, shingle=3, percent=85, block_shingles=block).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
 @pytest.mark.parametrize("hot", [1, 20])
 def test_hot_first_pieces_are_matched_whole(spark, hot):
     """Rows of first pieces over the counted size are dealt by both pieces; no pair of a bucket is left out."""
