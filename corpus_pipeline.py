@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import mixing, neardup, packing, pii, quality
-from evidentia.llm.common import saved, table
+from evidentia.llm.common import Workspace, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by surrogates of the same length and shape."""
-    return pii.pseudonymized(docs).select(*COLUMNS)
+    return pii.pseudonymized(docs, key=pii.surrogate_key(spark)).select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    docs, ws = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = ws.saved(stage(spark, docs, sf_dir), "documents", over=True)
     return STAGES[-1][1](spark, docs, sf_dir)
