@@ -221,7 +221,7 @@ def test_repeated_passages_against_brute_force(spark):
     texts |= {60: None, 61: "", 62: texts[3], 63: " ".join(["x"] * 300), 64: " ".join(["x"] * 200)}
     want = _kept(texts, 50)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for load in (400_000, 60):  # one index, and several per minimizer
+    for load in (400_000, 400, 20):  # one index, many, and minimizers whose windows are told apart one by one
         got = substring.without_repeats(docs, shard_words=load).collect()
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
 
@@ -241,13 +241,32 @@ def test_word_index_finds_what_is_there():
     index = substring.WordIndex(text)
     for size in (1, 2, 5):
         starts = np.array([i for i in range(500 - size) if 0 not in text[i : i + size]])
-        which, lo, hi = index.search(text, starts, size, np.ones(len(starts), np.int64))
-        assert len(which) == len(starts)
-        for s, a, b in zip(starts[which], lo, hi):
+        length, lo, hi = index.matching_statistics(text, starts + size, size, np.ones(len(starts), np.int64))
+        assert (length == size).all()
+        for s, a, b in zip(starts, lo, hi):
             there = [i for i in range(501 - size) if (text[i : i + size] == text[s : s + size]).all()]
             assert sorted(index.order[a:b].tolist()) == there
 
 
+def test_matching_statistics_of_a_shard_file():
+    """Against brute force: how far back from each place the words occur twice, and the smallest document of a window."""
+    rng = np.random.RandomState(5)
+    words = [rng.randint(1, 4, n).astype(np.uint64) for n in (60, 40, 30)]
+    docs = np.array([7, 3, 9])
+    shard = substring.Shard(substring.Shard.built(words, docs))
+    joined = [w.tolist() for w in words]
+    count = lambda run: sum(w[i : i + len(run)] == run for w in joined for i in range(len(w) - len(run) + 1))
+    coded = np.searchsorted(shard.names, words[0]) + 1
+    ends = np.arange(12, 61)
+    length, lo, hi = shard.index.matching_statistics(coded, ends, 12, np.full(len(ends), 2))
+    for e, n, a, b in zip(ends, length, lo, hi):
+        want = max(k for k in range(13) if k == 0 or count(joined[0][e - k : e]) >= 2)
+        assert n == want and (n == 0 or b - a == count(joined[0][e - n : e]))
+    for w, d, first in zip(joined, docs, shard.first_documents(words, docs, 6, True)):
+        for i, got in enumerate(first):
+            assert got == min(x for v, x in zip(joined, docs) if any(v[k : k + 6] == w[i : i + 6] for k in range(len(v) - 5)))
+
+
 def test_top_k_against_brute_force(spark):
     rng = random.Random(11)
     rows = [(i, [float(np.float32(rng.gauss(0, 0.5))) for _ in range(24)]) for i in range(300)]
