@@ -18,16 +18,18 @@ PRIORITIES = {
     "review": ["requirements", "invariants", "decisions", "tests", "risks", "contradictions"],
     "document": ["requirements", "invariants", "constraints", "decisions", "currentState", "risks", "tests", "contradictions"],
 }
+# Words of the categories, and the types of pages that describe how things are.
 WORDS = {
     "invariants": ["invariant", "invariante", "must always", "must never", "deve sempre", "non deve mai", "only after"],
     "constraints": ["constraint", "constraints", "vincolo", "vincoli", "restriction", "restricted", "limit", "limite", "cannot", "must not", "non pu[oò]", "non deve", "at most", "no more than"],
-    "dependencies": ["dependency", "dependencies", "dipendenz[a-z]*", "interface", "interfaces", "endpoint", "schema", "contract", "contratto"],
+    "dependencies": ["dependency", "dependencies", "dipendenz[a-z0-9_]*", "interface", "interfaces", "endpoint", "schema", "contract", "contratto"],
     "incidents": ["incident", "incidente", "outage", "failure", "failures", "guasto", "postmortem", "known failure", "regression"],
     "tests": ["test", "tests", "verification", "regression", "verifica", "collaudo"],
     "risks": ["risk", "risks", "rischio", "rischi"],
     "contradictions": ["contradiction", "contradictory", "conflict", "contraddizione", "conflitto"],
+    "conflicts": ["not marked superseded", "unresolved contradict[a-z0-9_]*", "contradicts?", "conflicting (?:claim|decision|evidence|requirement|rule)", "in conflitto con", "contraddice[a-z0-9_]*", "evidenz[ae] contraddittori[ae]"],
 }
-CURRENT_TYPES = ["overview", "summary", "entity", "concept", "analysis", "implementation"]
+CURRENT_TYPES = ["entity", "concept", "summary", "comparison", "overview", "analysis", "client_source", "meeting_note", *vocab.COMPONENT_TYPES]
 
 
 def categories(type_: Column, tags: Column, text: Column) -> Column:
@@ -45,7 +47,7 @@ def categories(type_: Column, tags: Column, text: Column) -> Column:
         ("dependencies", type_.isin("api", "integration", "data_model", "automation") | word(text, WORDS["dependencies"])),
         ("incidents", (type_ == "analysis") & word(text, WORDS["incidents"])),
         ("risks", (type_ == "risk") | word(tags, WORDS["risks"])),
-        ("contradictions", word(tags, WORDS["contradictions"])),
+        ("contradictions", word(tags, WORDS["contradictions"]) | word(text, WORDS["conflicts"])),
     ]
     return F.array_compact(F.array(*(F.when(t, F.lit(c)) for c, t in tests)))
 

@@ -66,14 +66,14 @@ def facet_coverage(queries: DataFrame, hits: DataFrame, texts: DataFrame) -> Dat
     return queries.select("qid").join(out, "qid", "left").select("qid", F.coalesce("facets", F.lit(0)).alias("facets"), F.coalesce("covered", F.lit(0)).alias("covered"), F.round(F.coalesce(F.col("covered") / F.col("facets"), F.lit(0.0)), 6).alias("coverage"))
 
 
-#: Numbers as claims state them.
-NUMBER = r"[0-9]+(?:\.[0-9]+)?"
-CONFLICT = r"(?i)contradict|conflict|earlier decision|legacy window|contradd|conflitt"
+#: Numbers as claims state them, a comma or a point before the decimals; words that state a conflict. (Fixed values.)
+NUMBER = r"(?<![A-Za-z0-9_])[0-9]+(?:[.,][0-9]+)?(?![A-Za-z0-9_])"
+CONFLICT = r"(?i)(?<![A-Za-z0-9_])(?:contradict|conflict|earlier decision|legacy window|contradd|conflitt)"
 
 
 def contradictions(pages: DataFrame) -> DataFrame:
     """request_id, pages, numbers, explicit, contradiction: requests of two pages or more that state different numbers or a conflict."""
-    found = pages.filter("request_id IS NOT NULL").select("request_id", "path", F.col("body").rlike(CONFLICT).alias("x"), F.explode_outer(F.regexp_extract_all("body", F.lit(NUMBER), 0)).alias("n"))
+    found = pages.filter("request_id IS NOT NULL").select("request_id", "path", F.col("body").rlike(CONFLICT).alias("x"), F.explode_outer(F.transform(F.regexp_extract_all("body", F.lit(NUMBER), 0), lambda x: F.replace(x, F.lit(","), F.lit(".")))).alias("n"))
     g = found.groupBy("request_id").agg(F.countDistinct("path").alias("pages"), F.countDistinct("n").alias("numbers"), F.max("x").alias("explicit"))
     return g.withColumn("contradiction", (F.col("pages") >= 2) & ((F.col("numbers") >= 2) | F.col("explicit")))
 

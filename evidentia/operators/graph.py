@@ -65,16 +65,45 @@ def role_edges(pages: DataFrame) -> DataFrame:
     return out
 
 
+def _joined(folder: Column, target: Column) -> Column:
+    """The path that a target names as seen from a folder: joined, `.` and `..` worked off."""
+    parts = F.filter(F.split(F.concat_ws("/", folder, target), "/"), lambda x: (x != "") & (x != "."))
+    step = lambda a, x: F.when((x == "..") & (F.size(a) > 0) & (F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")) != ".."), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def _named(pages: DataFrame) -> DataFrame:
+    """key, path: every name under which a page's file can be meant (each tail of its path, in lower case)."""
+    parts = F.split(F.lower("path"), "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    return pages.select("path", F.explode(tails).alias("key"))
+
+
+def _spellings(target: Column) -> Column:
+    return F.transform(F.array_distinct(F.array(target, F.replace(target, F.lit(" "), F.lit("_")), F.replace(target, F.lit(" "), F.lit("-")))), lambda x: F.lower(F.concat(x, F.lit(".md"))))
+
+
 def resolved_links(pages: DataFrame) -> DataFrame:
-    """path, target, resolved (null if none): links by title (the last page of a title wins), else by file name (the first path wins)."""
-    links = pages.select("path", F.explode(T.wiki_links(F.col("body"))).alias("target"))
-    titles = pages.groupBy(F.lower("title").alias("key")).agg(F.max("path").alias("by_title"))
-    base = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", ""))
-    files = pages.groupBy(base.alias("key")).agg(F.min("path").alias("by_file"))
-    stem = F.regexp_replace(F.element_at(F.split(F.lower("target"), "/"), -1), r"\.md$", "")
-    named = links.join(titles, F.lower(F.trim("target")) == titles["key"], "left").drop("key")
-    variants = named.withColumn("key", F.explode(T.file_variants(stem))).join(files, "key", "left").groupBy("path", "target").agg(F.first("by_title").alias("by_title"), F.min("by_file").alias("by_file"))
-    return variants.select("path", "target", F.coalesce("by_title", "by_file").alias("resolved"))
+    """path, target, resolved (null if none). A target in .md is a path, seen from the linking page's folder; any other is a
+    title (the last page of a title wins), else a file name, with blanks as written, `_` or `-` (the first path wins)."""
+    links = pages.select("path", F.explode(T.wiki_links(F.col("body"))).alias("target")).withColumn("_t", F.regexp_replace("target", r"\\", "/"))
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    files = links.filter(F.col("_t").endswith(".md")).withColumn("resolved", _joined(folder, F.col("_t")))
+    files = files.join(pages.select(F.col("path").alias("resolved"), F.lit(True).alias("_there")), "resolved", "left").select("path", "target", F.when(F.col("_there"), F.col("resolved")).alias("resolved"))
+    titles = pages.groupBy(F.lower("title").alias("_key")).agg(F.max("path").alias("by_title"))
+    first = _named(pages).groupBy("key").agg(F.min("path").alias("by_file"))
+    names = links.filter(~F.col("_t").endswith(".md")).join(titles, F.lower("_t") == titles["_key"], "left")
+    names = names.withColumn("key", F.explode(_spellings(F.col("_t")))).join(first, "key", "left").groupBy("path", "target").agg(F.first("by_title").alias("by_title"), F.min("by_file").alias("by_file"))
+    return files.unionByName(names.select("path", "target", F.coalesce("by_title", "by_file").alias("resolved")))
+
+
+def link_matches(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """name, path: all pages that a name (column name) can mean, by title or by file name."""
+    n = names.select("name").distinct()
+    titled = pages.select(F.lower(F.trim("title")).alias("key"), "path")
+    by_title = n.withColumn("key", F.lower(F.trim("name"))).join(titled, "key").select("name", "path")
+    by_file = n.withColumn("key", F.explode(_spellings(F.col("name")))).join(_named(pages), "key").select("name", "path")
+    return by_title.unionByName(by_file).distinct()
 
 
 def weighted(edges: DataFrame) -> DataFrame:

@@ -10,15 +10,15 @@ from ..sources import corpus
 from ..streaming import incremental
 from .graph_plans import _ROLES, role_pages
 
-NOTES = ["must never fail", "limit of two", "the schema", "plain words", "an outage"]
+NOTES = ["must never fail", "limit of two", "the schema", "plain words", "an outage", "a conflicting rule", "one contradicts another", "uncontradictsed"]
 
 
 def noted_pages(spark, d):
-    """Role pages with a note and tags by id; stated rules."""
+    """Pages of all types, with a note and tags by id; stated rules."""
     p = role_pages(spark, d)
     n = F.substring("path", 5, 9).cast("long")
     pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
-    return p.withColumn("body", pick(NOTES, F.floor(n / 5))).withColumn("tags", F.array(F.when(n % 3 == 0, F.lit("regression test")).otherwise(F.lit("misc")))).withColumn("qid", F.floor(n / 20)).withColumn("rank", (n % 20 + 1).cast("int"))
+    return p.withColumn("type", pick(vocab.PAGE_TYPES, n)).withColumn("body", pick(NOTES, F.floor(n / 5))).withColumn("tags", F.array(F.when(n % 3 == 0, F.lit("regression test")).otherwise(F.lit("misc")))).withColumn("qid", F.floor(n / 20)).withColumn("rank", (n % 20 + 1).cast("int"))
 
 
 def evidence_buckets(spark, d):
@@ -71,11 +71,28 @@ def code_references(spark, d):
     return code.references(parts_as_fragments(spark, d), names).groupBy("target", "how").agg(F.count("*").alias("n"))
 
 
+def turn_documents(spark, d):
+    """Every turn of the conversations as a Markdown document with a heading per role and, by its number, what a review must find; stated rules."""
+    c = corpus.table(spark, d, "conversations")
+    some = lambda n, k, text: F.when(F.col("conv_id") % n == k, F.lit(text)).otherwise(F.lit(""))
+    body = F.concat(F.lit("# Title\n\n## "), F.coalesce("role", F.lit("x")), F.lit("\n"), F.coalesce("text", F.lit("")), *(some(*x) for x in ADDED))
+    return c.select(F.concat_ws("/", F.lit("conv"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), body.alias("body"))
+
+
+#: (divisor, rest, text added to the documents of such conversations)
+ADDED = [
+    (3, 0, "\nTODO"), (4, 0, "\n# Second"), (5, 1, "\n```mermaid\nflowchart TD\nA-->B\n```"), (7, 0, "\n```mermaid\nclick here\n```"), (8, 1, "\n```\n+---+\n| a |\n```"),
+    (6, 1, "\nsee wiki/page and the prompt"), (9, 2, "\nnon so perchè, un pò"), (10, 3, "\nevidentia://page/x"), (11, 4, "\n<div onclick=1>"),
+]
+
+
 def document_review(spark, d):
-    """Conversations as Markdown documents with a heading per role; stated rules."""
-    c = corpus.table(spark, d, "conversations").filter("turn <= 1")
-    body = F.concat(F.lit("# Title\n\n## "), F.coalesce("role", F.lit("x")), F.lit("\n"), F.coalesce("text", F.lit("")), F.when(F.col("conv_id") % 3 == 0, F.lit("\nTODO")).otherwise(F.lit("")), F.when(F.col("conv_id") % 4 == 0, F.lit("\n# Second")).otherwise(F.lit("")))
-    return governance.review(c.select(F.concat_ws("/", F.lit("conv"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), body.alias("body")), ["user"]).filter("code <> 'WEAK_SECTIONS'")
+    return governance.review(turn_documents(spark, d), ["user"], language="Italian", diagram_mode="none")
+
+
+def document_ready(spark, d):
+    docs = turn_documents(spark, d)
+    return governance.ready(governance.review(docs, ["user"], language="Italian"), docs)
 
 
 def page_lint(spark, d):
@@ -90,16 +107,16 @@ def user_sessions(spark, d):
     return incremental.sessions(corpus.table(spark, d, "events"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_buckets, evidence_order, impact_edges, graph_dependencies, progressive_widening, code_search, code_symbol, code_references, document_review, page_lint, event_windows, user_sessions)}
+QUERIES = {f.__name__: f for f in (evidence_buckets, evidence_order, impact_edges, graph_dependencies, progressive_widening, code_search, code_symbol, code_references, document_review, document_ready, page_lint, event_windows, user_sessions)}
 
-_NOTED = f"""{_ROLES}, noted AS (SELECT r.*, doc_id // 20 AS qid, doc_id % 20 + 1 AS rank, {NOTES!r}[doc_id // 5 % 5 + 1] AS body, CASE WHEN doc_id % 3 = 0 THEN 'regression test' ELSE 'misc' END AS tags FROM roles r JOIN documents ON path = 'doc/' || lpad(doc_id::VARCHAR, 9, '0') || '.md')"""
+_NOTED = f"""{_ROLES}, noted AS (SELECT r.* EXCLUDE (type), {vocab.PAGE_TYPES!r}[doc_id % 20 + 1] AS type, doc_id // 20 AS qid, doc_id % 20 + 1 AS rank, {NOTES!r}[doc_id // 5 % 8 + 1] AS body, CASE WHEN doc_id % 3 = 0 THEN 'regression test' ELSE 'misc' END AS tags FROM roles r JOIN documents ON path = 'doc/' || lpad(doc_id::VARCHAR, 9, '0') || '.md')"""
 
 
 def _word(x, key):
     return f"regexp_matches(lower({x}), '(^|[^a-z0-9_])({'|'.join(context.WORDS[key])})($|[^a-z0-9_])')"
 
 
-_TESTS = {"currentState": f"type IN ({', '.join(map(repr, context.CURRENT_TYPES))})", "requirements": "type IN ('requirement', 'request', 'candidate_request')", "decisions": "type = 'decision'", "affectedComponents": f"type IN ({', '.join(map(repr, vocab.COMPONENT_TYPES))})", "implementationEvidence": f"type IN ({', '.join(map(repr, vocab.COMPONENT_TYPES))})", "tests": f"type = 'test_result' OR {_word('tags', 'tests')}", "invariants": _word("body", "invariants"), "constraints": _word("body", "constraints"), "dependencies": f"type IN ('api', 'integration', 'data_model', 'automation') OR {_word('body', 'dependencies')}", "incidents": f"type = 'analysis' AND {_word('body', 'incidents')}", "risks": f"type = 'risk' OR {_word('tags', 'risks')}", "contradictions": _word("tags", "contradictions")}
+_TESTS = {"currentState": f"type IN ({', '.join(map(repr, context.CURRENT_TYPES))})", "requirements": "type IN ('requirement', 'request', 'candidate_request')", "decisions": "type = 'decision'", "affectedComponents": f"type IN ({', '.join(map(repr, vocab.COMPONENT_TYPES))})", "implementationEvidence": f"type IN ({', '.join(map(repr, vocab.COMPONENT_TYPES))})", "tests": f"type = 'test_result' OR {_word('tags', 'tests')}", "invariants": _word("body", "invariants"), "constraints": _word("body", "constraints"), "dependencies": f"type IN ('api', 'integration', 'data_model', 'automation') OR {_word('body', 'dependencies')}", "incidents": f"type = 'analysis' AND {_word('body', 'incidents')}", "risks": f"type = 'risk' OR {_word('tags', 'risks')}", "contradictions": f"({_word('tags', 'contradictions')} OR {_word('body', 'conflicts')})"}
 _ROLE_EDGES = f"""{_ROLES}, re AS (SELECT 'page:' || a.path AS src, CASE WHEN b.type = 'implementation' THEN 'implements' WHEN b.type = 'test_result' THEN 'tests' ELSE 'released_by' END AS kind, 'page:' || b.path AS dst
 FROM roles a JOIN roles b USING (request_id) WHERE (a.type IN ('request', 'requirement') AND b.type = 'implementation') OR (a.type IN ('requirement', 'implementation') AND b.type = 'test_result') OR (a.type IN ('request', 'implementation') AND b.type = 'release'))"""
 _PARTS = "fr AS (SELECT 'src/' || regexp_replace(p_brand, '[# ]', '', 'g') || '.ts' AS path, p_partkey::INTEGER AS start_line, replace(p_name, ' ', '_') AS symbol, p_brand || '.' || replace(p_name, ' ', '_') AS qualified_name, p_partkey % 10 = 0 AS module, p_type AS definition, string_split(p_type, ' ') AS calls, string_split(p_name, ' ') AS refs, p_brand AS imports FROM part)"
@@ -119,6 +136,19 @@ def _search_sql(query):
     return f"({base} + {' + '.join(points)} + ({hit})::DOUBLE / {len(points)} * 20) * CASE WHEN module THEN 0.72::DOUBLE ELSE 1.0 END"
 
 
+_CHR = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_ADDED_SQL = " || ".join(f"CASE WHEN conv_id % {n} = {k} THEN {_CHR(t)} ELSE '' END" for n, k, t in ADDED)
+# which of the added texts a code comes from; of the turns' own texts only the rules for words could match, and are asked
+_FOUND = [
+    ("BLOCKER", "UNRESOLVED_PLACEHOLDER", "''", r"regexp_matches(body, '(?i)\b(TODO|TBD|FIXME)\b')"), ("BLOCKER", "DOCUMENT_TITLE_CONTRACT", "''", "conv_id % 4 = 0"), ("BLOCKER", "MISSING_SECTIONS", "'user'", "lower(role) <> 'user'"),
+    ("WARNING", "WEAK_SECTIONS", "lower(role)", "length(trim(rest, ' ')) < 40"), ("BLOCKER", "MERMAID_UNSAFE", "''", "conv_id % 7 = 0"), ("WARNING", "MERMAID_INVALID", "''", "conv_id % 7 = 0"), ("WARNING", "DIAGRAM_MODE_MISMATCH", "''", "conv_id % 7 = 0 OR conv_id % 5 = 1"),
+    ("WARNING", "ASCII_DIAGRAM", "''", "conv_id % 8 = 1"), ("BLOCKER", "PRIVATE_RESOURCE_URI", "''", "conv_id % 10 = 3"), ("WARNING", "RAW_HTML", "''", "conv_id % 11 = 4"),
+    ("BLOCKER", "NON_CLIENT_FACING", "array_to_string(told, ', ')", "len(told) > 0"), ("WARNING", "LANGUAGE_REVIEW", "'un po'', perché'", "conv_id % 9 = 2"),
+]
+_REVIEW = f"""c0 AS (SELECT 'conv/' || conv_id || '/' || turn AS path, coalesce(role, 'x') AS role, conv_id, coalesce(text, '') || {_ADDED_SQL} AS rest FROM conversations),
+c AS (SELECT *, '# Title' || chr(10) || chr(10) || '## ' || role || chr(10) || rest AS body, list_filter([CASE WHEN regexp_matches(rest, '(?i)\\bwiki\\b|wiki[_-][a-z_]+|wiki/') THEN 'wiki' END, CASE WHEN regexp_matches(rest, '(?i)\\bagent\\b|\\bLLM\\b|prompt|sub-agent') THEN 'agent' END,
+  CASE WHEN regexp_matches(rest, '(?i)\\b(src|tests|docs|wiki)[\\\\/][A-Za-z0-9_./-]+') THEN 'internal path' END], lambda x: x IS NOT NULL) AS told FROM c0),
+found AS ({" UNION ALL ".join(f"SELECT path, '{s}' AS severity, '{k}' AS code, {detail} AS detail FROM c WHERE {test}" for s, k, detail, test in _FOUND)})"""
 ORACLES = {
     "evidence_buckets": f"WITH {_NOTED} " + " UNION ALL ".join(f"SELECT qid, '{c}' AS category, path FROM noted WHERE {t}" for c, t in _TESTS.items()),
     "impact_edges": f"WITH {_ROLE_EDGES}, ro AS (SELECT 'page:' || path AS root FROM roles WHERE type = 'implementation') SELECT root, 'outgoing' AS direction, kind, dst AS node FROM re JOIN ro ON src = root UNION ALL SELECT root, 'incoming', kind, src FROM re JOIN ro ON dst = root",
@@ -126,9 +156,8 @@ ORACLES = {
     "code_search": f"WITH {_PARTS} SELECT path, start_line, symbol, score FROM (SELECT path, start_line, symbol, round({_search_sql('brand steel')}, 6) AS score FROM fr) WHERE score > 0 ORDER BY score DESC, path, start_line LIMIT 25",
     "code_symbol": f"WITH {_PARTS} SELECT path, start_line, symbol, qualified_name, 160 AS score FROM fr WHERE lower(symbol) = 'small_widget' ORDER BY path, start_line LIMIT 25",
     "code_references": f"WITH {_PARTS}, t AS (SELECT DISTINCT unnest(string_split(p_type, ' ')) AS target FROM part), u AS (SELECT path, start_line, symbol, lower(unnest(calls)) AS n, 0 AS k FROM fr UNION ALL SELECT path, start_line, symbol, lower(unnest(refs)), 1 FROM fr UNION ALL SELECT path, start_line, symbol, lower(imports), 2 FROM fr) SELECT target, ['call', 'reference', 'import'][k + 1] AS how, count(*) AS n FROM (SELECT target, path, start_line, min(k) AS k FROM u JOIN t ON n = lower(target) WHERE lower(symbol) <> lower(target) GROUP BY ALL) GROUP BY ALL",
-    "document_review": """WITH c AS (SELECT 'conv/' || conv_id || '/' || turn AS path, coalesce(role, 'x') AS role, conv_id, '# Title' || chr(10) || chr(10) || '## ' || coalesce(role, 'x') || chr(10) || coalesce(text, '') || CASE WHEN conv_id % 3 = 0 THEN chr(10) || 'TODO' ELSE '' END || CASE WHEN conv_id % 4 = 0 THEN chr(10) || '# Second' ELSE '' END AS body FROM conversations WHERE turn <= 1)
-SELECT path, 'BLOCKER' AS severity, 'UNRESOLVED_PLACEHOLDER' AS code, '' AS detail FROM c WHERE regexp_matches(body, '(?i)\\b(TODO|TBD|FIXME)\\b')
-UNION ALL SELECT path, 'BLOCKER', 'DOCUMENT_TITLE_CONTRACT', '' FROM c WHERE conv_id % 4 = 0 UNION ALL SELECT path, 'BLOCKER', 'MISSING_SECTIONS', 'user' FROM c WHERE lower(role) <> 'user'""",
+    "document_review": f"WITH {_REVIEW} SELECT path, severity, code, detail FROM found",
+    "document_ready": f"WITH {_REVIEW} SELECT path, coalesce(n, 0) AS blockers, coalesce(n, 0) = 0 AS ready FROM c LEFT JOIN (SELECT path, count(*) AS n FROM found WHERE severity = 'BLOCKER' GROUP BY path) USING (path)",
     "page_lint": f"WITH {corpus.PAGES_SQL} SELECT path, 'ERROR' AS severity, 'INVALID_TYPE' AS code FROM pages_m UNION ALL SELECT path, 'ERROR', 'EMPTY_FILE' FROM pages_m WHERE trim(body, ' ') = ''",
     "event_windows": "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS events, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "user_sessions": """WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)

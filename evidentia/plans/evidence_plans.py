@@ -47,11 +47,12 @@ def ledger_reuse(spark, d):
 
 
 def claims(spark, d):
-    """One claim per turn: its first 40 characters, its kind by the turn, its anchor the title of a page; stated rules."""
+    """One claim per turn: its text (in every fifth conversation one sentence by the turn's place), its kind by the turn, its anchor the title of a page; stated rules."""
     s = evidence.identified(turns(spark, d))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("seq") % 6 + 1).cast("int"))
-    c = s.select("source_uri", "segment_id", "seq", F.substring("text", 1, 40).alias("text"), kind.alias("kind"))
+    c = s.select("source_uri", "segment_id", "seq", "text", kind.alias("kind"))
     conv = F.substring("source_uri", 6, 20).cast("long")
+    c = c.withColumn("text", F.when(conv % 5 == 0, F.concat(F.lit("Turn "), F.col("seq").cast("string"), F.lit(" states one thing."))).otherwise(F.col("text")))
     c = c.withColumn("anchor", F.when(conv % 3 == 0, F.concat(F.lit("document "), conv.cast("string"))).when(conv % 3 == 1, F.lit("shared title")).otherwise(F.lit("nothing")))
     return c.withColumn("claim_id", evidence.claim_id(F.col("source_uri"), F.col("segment_id"), F.col("text"), F.col("kind"), F.lit("extracted")))
 
@@ -154,7 +155,7 @@ _TURNS = """turns AS (SELECT 'conv:' || conv_id AS source_uri, conv_id, turn::IN
 segs AS (SELECT *, 'seg-' || substr(sha256('source-segment-v1' || chr(0) || source_uri || chr(0) || hash || chr(0) || occurrence), 1, 24) AS segment_id FROM
   (SELECT *, (row_number() OVER (PARTITION BY source_uri, hash ORDER BY seq) - 1)::INTEGER AS occurrence, sum(length(text)) OVER (PARTITION BY source_uri ORDER BY seq) AS fin FROM turns)),
 ledger AS (SELECT *, CASE seq % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'evidence_recorded' ELSE 'skipped' END AS status FROM segs)"""
-_CLAIMS = f"""{_TURNS}, c0 AS (SELECT source_uri, segment_id, seq, substr(text, 1, 40) AS text, {KINDS!r}[seq % 6 + 1] AS kind,
+_CLAIMS = f"""{_TURNS}, c0 AS (SELECT source_uri, segment_id, seq, CASE WHEN conv_id % 5 = 0 THEN 'Turn ' || seq || ' states one thing.' ELSE text END AS text, {KINDS!r}[seq % 6 + 1] AS kind,
   CASE conv_id % 3 WHEN 0 THEN 'document ' || conv_id WHEN 1 THEN 'shared title' ELSE 'nothing' END AS anchor FROM segs),
 claims AS (SELECT *, 'claim-' || substr(sha256('evidence-claim-v1' || chr(0) || source_uri || chr(0) || segment_id || chr(0) || {_SQUEEZE('text')} || chr(0) || kind || chr(0) || 'extracted'), 1, 32) AS claim_id,
   CASE WHEN kind = 'requirement' THEN 'requirements' WHEN kind = 'decision' THEN 'decisions' WHEN kind = 'risk' THEN 'risks' WHEN kind = 'behavior' THEN 'implementations' ELSE 'analysis' END || '/' || kind AS dir FROM c0),

@@ -18,13 +18,25 @@ def role_pages(spark, d):
 
 
 def linked_pages(spark, d):
-    """Pages whose bodies link by title to the page of the next id, to one by file name and to one that doesn't exist: a stated rule."""
+    """Pages whose bodies link by title (even ids), by file name, by paths from their own folder, over another folder and to what
+    doesn't exist: a stated rule."""
     p = corpus.pages(spark, d)
     n = F.substring("path", 5, 9).cast("long")
-    body = F.concat(F.lit("[[Document "), (n + 1).cast("string"), F.lit("]] [x](doc/"), F.lpad((n * 7 % 150).cast("string"), 9, "0"), F.lit(".md) [[Missing "), (n % 7).cast("string"), F.lit("]] [y](https://example.com)"))
+    file = lambda k, m: F.lpad((n * k % m).cast("string"), 9, "0")
+    body = F.concat(
+        F.when(n % 2 == 0, F.concat(F.lit("[[Document "), (n + 1).cast("string"), F.lit("]]"))).otherwise(F.lit("")), F.lit(" [x]("), file(7, 150), F.lit(".md) [[Missing "), (n % 7).cast("string"), F.lit("]] [y](https://example.com) [z](../doc/./"),
+        file(3, 40), F.lit(".md) [u](doc/"), file(5, 60), F.lit(".md) [["), file(11, 90), F.lit("]]"),
+    )
     return p.withColumn("body", body)
 
 
+def link_candidates(spark, d):
+    """All pages that the bodies' names can mean; the titles are shared by the pages of a thousand, a stated rule."""
+    p = corpus.pages(spark, d).withColumn("title", F.concat(F.lit("Title "), (F.substring("path", 5, 9).cast("long") % 1000).cast("string")))
+    names = p.select(F.explode(F.array(F.col("title"), F.upper("title"), F.substring("path", 1, 13), F.substring("path", 5, 9))).alias("name"))
+    return graph.link_matches(p, names)
+
+
 def graph_nodes(spark, d):
     return graph.nodes(corpus.pages(spark, d))
 
@@ -65,7 +77,7 @@ def orphans(spark, d):
 
 
 def duplicate_titles(spark, d):
-    p = corpus.pages(spark, d).withColumn("title", F.substring("body", 1, 12))
+    p = corpus.pages(spark, d).withColumn("title", F.split("body", "\n")[0])
     return governance.duplicate_titles(p)
 
 
@@ -85,7 +97,7 @@ def _expansion(depth):
         e = trade_edges(spark, d)
         ends = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         kinds = ends.select("node", F.split("node", ":")[0].alias("kind"))
-        seeds = corpus.table(spark, d, "customer").filter("c_custkey <= 40").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("customer:"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("node"), F.lit(1.0).alias("score"))
+        seeds = corpus.table(spark, d, "customer").filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("customer:"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("node"), F.lit(1.0).alias("score"))
         return graph.expand(e, kinds, seeds, max_nodes=12, depth=depth, beam=8, max_visited=32).select("qid", "node", F.round("value", 6).alias("value"), "place")
 
     return run
@@ -108,7 +120,7 @@ def induced_edges(spark, d):
 
 QUERIES = {
     "graph_nodes": graph_nodes, "graph_edges": graph_edges, "graph_degree": graph_degree, "graph_kind_counts": graph_kind_counts, "same_request_roles": same_request_roles,
-    "traceability": traceability, "link_targets": link_targets, "unresolved_links": unresolved_links, "orphans": orphans, "duplicate_titles": duplicate_titles,
+    "traceability": traceability, "link_targets": link_targets, "unresolved_links": unresolved_links, "link_candidates": link_candidates, "orphans": orphans, "duplicate_titles": duplicate_titles,
     "expand_1hop": _expansion(1), "expand_khop": _expansion(2), "expand_request": expand_request, "induced_edges": induced_edges,
 }
 
@@ -123,9 +135,12 @@ nodes AS (SELECT 'page:' || path AS id, 'page' AS kind, title AS label FROM page
   UNION SELECT 'request:' || {_SLUG('request_id')}, 'request', min(request_id) FROM pages_m GROUP BY 1)"""
 _ROLES = f"""roles AS (SELECT 'doc/' || lpad(doc_id::VARCHAR, 9, '0') || '.md' AS path, 'Document ' || doc_id AS title, {ROLE_TYPES!r}[doc_id % 5 + 1] AS type, 'R-' || (doc_id // 20) AS request_id FROM documents)"""
 _LINKED = f"""{corpus.PAGES_SQL}, linked AS (SELECT path, title, doc_id AS n FROM pages_m),
-links AS (SELECT path, 'Document ' || (n + 1) AS target, 'doc/' || lpad((n + 1)::VARCHAR, 9, '0') || '.md' AS goal FROM linked
-  UNION ALL SELECT path, 'doc/' || lpad((n * 7 % 150)::VARCHAR, 9, '0') || '.md', 'doc/' || lpad((n * 7 % 150)::VARCHAR, 9, '0') || '.md' FROM linked
-  UNION ALL SELECT path, 'Missing ' || (n % 7), NULL FROM linked),
+links AS (SELECT path, 'Document ' || (n + 1) AS target, 'doc/' || lpad((n + 1)::VARCHAR, 9, '0') || '.md' AS goal FROM linked WHERE n % 2 = 0
+  UNION SELECT path, lpad((n * 7 % 150)::VARCHAR, 9, '0') || '.md', 'doc/' || lpad((n * 7 % 150)::VARCHAR, 9, '0') || '.md' FROM linked
+  UNION SELECT path, '../doc/./' || lpad((n * 3 % 40)::VARCHAR, 9, '0') || '.md', 'doc/' || lpad((n * 3 % 40)::VARCHAR, 9, '0') || '.md' FROM linked
+  UNION SELECT path, 'doc/' || lpad((n * 5 % 60)::VARCHAR, 9, '0') || '.md', NULL FROM linked
+  UNION SELECT path, lpad((n * 11 % 90)::VARCHAR, 9, '0'), 'doc/' || lpad((n * 11 % 90)::VARCHAR, 9, '0') || '.md' FROM linked
+  UNION SELECT path, 'Missing ' || (n % 7), NULL FROM linked),
 resolved AS (SELECT l.path, target, p.path AS resolved FROM links l LEFT JOIN linked p ON l.goal = p.path)"""
 _TRADE = """edges AS (SELECT 'order:' || lpad(o_orderkey::VARCHAR, 9, '0') AS src, 'links_to' AS kind, 'customer:' || lpad(o_custkey::VARCHAR, 9, '0') AS dst, 0.7 AS weight FROM orders
   UNION ALL SELECT 'customer:' || lpad(c_custkey::VARCHAR, 9, '0'), 'derived_from', 'nation:' || lpad(c_nationkey::VARCHAR, 9, '0'), 0.55 FROM customer
@@ -135,7 +150,7 @@ _TRADE = """edges AS (SELECT 'order:' || lpad(o_orderkey::VARCHAR, 9, '0') AS sr
 def _expand_sql(depth):
     parts = [_TRADE, "both_m AS (SELECT src AS node, dst AS neighbor, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)", "deg AS (SELECT node, count(*) AS degree FROM both_m GROUP BY node)",
              "near AS (SELECT b.node, neighbor, max(weight)::DOUBLE * 0.6::DOUBLE / log2(2 + any_value(degree)) AS factor FROM both_m b JOIN deg d ON b.neighbor = d.node GROUP BY b.node, neighbor)",
-             "f0 AS (SELECT c_custkey AS qid, 'customer:' || lpad(c_custkey::VARCHAR, 9, '0') AS node, 1.0::DOUBLE AS value FROM customer WHERE c_custkey <= 40)"]
+             "f0 AS (SELECT c_custkey AS qid, 'customer:' || lpad(c_custkey::VARCHAR, 9, '0') AS node, 1.0::DOUBLE AS value FROM customer WHERE c_custkey % 50 = 0)"]
     for h in range(depth + 1):
         used = "" if h == 0 else f" LEFT JOIN (SELECT qid, count(*) AS used FROM ({' UNION ALL '.join(f'SELECT * FROM c{i}' for i in range(h))}) GROUP BY qid) u USING (qid)"
         parts.append(f"c{h} AS (SELECT qid, node, value FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY value DESC, node) AS rn FROM f{h}){used} WHERE rn <= 8 AND rn + {'0' if h == 0 else 'coalesce(used, 0)'} <= 32)")
@@ -156,9 +171,10 @@ FROM roles a JOIN roles b USING (request_id) WHERE (a.type IN ('request', 'requi
     "traceability": f"""WITH {_ROLES}, r AS (SELECT * FROM roles WHERE length(title) % 3 > 0 OR type <> 'release'), g AS (SELECT request_id, list(DISTINCT type) AS have FROM r GROUP BY request_id)
 SELECT request_id, array_to_string(list_filter(['request', 'requirement', 'implementation', 'test_result', 'release'], lambda x: NOT list_contains(have, x)), ',') AS missing FROM g""",
     "link_targets": f"WITH {_LINKED} SELECT path, target, resolved FROM resolved",
+    "link_candidates": f"WITH {corpus.PAGES_SQL}, t AS (SELECT path, 'Title ' || doc_id % 1000 AS title, doc_id FROM pages_m), n AS (SELECT title AS name FROM t UNION SELECT upper(title) FROM t UNION SELECT substr(path, 1, 13) FROM t UNION SELECT substr(path, 5, 9) FROM t) SELECT DISTINCT name, path FROM n JOIN t ON lower(name) = lower(title) OR name || '.md' = path OR 'doc/' || name || '.md' = path",
     "unresolved_links": f"WITH {_LINKED} SELECT path, target FROM resolved WHERE resolved IS NULL",
     "orphans": f"WITH {_LINKED} SELECT path FROM linked WHERE path NOT IN (SELECT resolved FROM resolved WHERE resolved IS NOT NULL AND resolved <> path)",
-    "duplicate_titles": f"WITH {corpus.PAGES_SQL} SELECT lower(trim(substr(body, 1, 12), ' ')) AS title, count(*) AS n, min(path) AS first_path FROM pages_m GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_titles": f"WITH {corpus.PAGES_SQL} SELECT lower(trim(string_split(body, chr(10))[1], ' ')) AS title, count(*) AS n, min(path) AS first_path FROM pages_m GROUP BY 1 HAVING count(*) > 1",
     "expand_1hop": _expand_sql(1), "expand_khop": _expand_sql(2),
     "induced_edges": f"""WITH {_TRADE}, chosen AS (SELECT 'customer:' || lpad(c_custkey::VARCHAR, 9, '0') AS node FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 'nation:' || lpad(n_nationkey::VARCHAR, 9, '0') FROM nation WHERE n_regionkey = 1)
 SELECT src, kind, dst FROM edges WHERE src IN (SELECT node FROM chosen) AND dst IN (SELECT node FROM chosen)""",

@@ -68,7 +68,7 @@ def fallback_demand(spark, d):
 
 
 def case_collisions(spark, d):
-    m = corpus.table(spark, d, "documents").select(F.substring("text", 1, 3).alias("path")).filter("path IS NOT NULL")
+    m = corpus.table(spark, d, "documents").select(F.explode(F.split("text", "[ \n]")).alias("path"))
     return evidence.collisions(m)
 
 
@@ -85,5 +85,5 @@ ORACLES = {
     "recovery_closed": f"WITH {ev._RECOVERY} SELECT recovery_id, CASE WHEN occurrences % 2 = 0 THEN 'resolved' ELSE status END AS status FROM rec",
     "most_drifted": f"WITH {ev._DRIFT}, c AS (SELECT user_id % 60 AS anchor_id, count(*) AS n FROM events GROUP BY 1) SELECT anchor_id, path, reason, coalesce(n, 0) AS citations FROM drift LEFT JOIN c USING (anchor_id) WHERE verdict = 'drift_suspected' ORDER BY citations DESC, path LIMIT 20",
     "fallback_demand": "SELECT '.' || event_type AS extension, sum((props->>'$.k')::BIGINT)::BIGINT AS searches FROM events GROUP BY 1",
-    "case_collisions": "SELECT lower(p) AS key, count(DISTINCT p) AS n FROM (SELECT substr(text, 1, 3) AS p FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT p) > 1",
+    "case_collisions": "SELECT lower(p) AS key, count(DISTINCT p) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]')) AS p FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT p) > 1",
 }

@@ -41,12 +41,12 @@ def _path(c):
 
 
 def lists(spark, d):
-    """Lexical, semantic and graph lists of the benchmark queries (up to id 39): the vector of the query's id stands for its
+    """Lexical, semantic and graph lists of all benchmark queries: the vector of the query's id (if there is one) stands for its
     meaning, the pages of the best hit's request for its neighbourhood; stated rules."""
-    p, q = corpus.pages(spark, d), corpus.queries(spark, d).filter("qid < 40")
+    p, q = corpus.pages(spark, d), corpus.queries(spark, d)
     lex = lexical.bm25(p, q, k=20)
     v = vectors(spark, d)
-    sem = vector.exact(v, v.filter("id < 40"), k=20).select("qid", _path("id").alias("path"), "score", "rank")
+    sem = vector.exact(v, v.join(q.select(F.col("qid").alias("id")), "id", "left_semi"), k=20).select("qid", _path("id").alias("path"), "score", "rank")
     seed = lex.filter("rank = 1").join(p.select("path", "request_id"), "path").select("qid", F.col("path").alias("seed"), "request_id")
     near = seed.join(p.select("path", "request_id"), "request_id").filter("path <> seed")
     gra = near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("path"))).filter("rank <= 10").select("qid", "path", "rank")
@@ -124,8 +124,8 @@ def _stem_sql(x):
 
 def _lists_sql():
     return _scores_sql("balanced", k=20) + f""",
-lex AS (SELECT * FROM hits WHERE qid < 40),
-sem AS (SELECT * FROM (SELECT qid, path, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS rank FROM (SELECT b.vec_id AS qid, a.vec_id AS vid, 'doc/' || lpad(a.vec_id::VARCHAR, 9, '0') || '.md' AS path, {_COS} AS score FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 40) b)) WHERE rank <= 20),
+lex AS (SELECT * FROM hits),
+sem AS (SELECT * FROM (SELECT qid, path, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS rank FROM (SELECT b.vec_id AS qid, a.vec_id AS vid, 'doc/' || lpad(a.vec_id::VARCHAR, 9, '0') || '.md' AS path, {_COS} AS score FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) b)) WHERE rank <= 20),
 seed AS (SELECT qid, path AS seed, request_id FROM lex JOIN pages_m USING (path) WHERE rank = 1),
 gra AS (SELECT * FROM (SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY path) AS rank FROM seed JOIN pages_m USING (request_id) WHERE path <> seed) WHERE rank <= 10)"""
 
@@ -164,8 +164,8 @@ ORACLES = {
     "token_budget_prefix": f"WITH {_budget_sql(2000)} SELECT qid, path, rank::INTEGER AS rank, used::BIGINT AS used FROM shown",
     "facet_coverage": f"WITH {_scores_sql('balanced', k=3)}, {_facets_sql('hits', 'fc')} SELECT qid, facets, covered, coverage FROM fc",
     "budget_limited_gaps": f"WITH {_budget_sql(400)}, {_facets_sql('hits', 'fa')}, {_facets_sql('shown', 'fs')}, {_gaps_sql('fa', 'hits', 'ga')}, {_gaps_sql('fs', 'shown', 'gs')} SELECT gs.qid AS qid, array_to_string(list_filter(gs.gaps, lambda x: NOT list_contains(ga.gaps, x)), ',') AS limited FROM gs JOIN ga USING (qid)",
-    "contradictions": f"""WITH {corpus.PAGES_SQL}, n AS (SELECT request_id, count(DISTINCT n) AS numbers FROM (SELECT request_id, unnest(regexp_extract_all(body, '[0-9]+(?:\\.[0-9]+)?')) AS n FROM pages_m) GROUP BY request_id)
-SELECT request_id, pages, coalesce(numbers, 0) AS numbers, explicit, pages >= 2 AND (coalesce(numbers, 0) >= 2 OR explicit) AS contradiction FROM (SELECT request_id, count(DISTINCT path) AS pages, bool_or(regexp_matches(body, '(?i)contradict|conflict|earlier decision|legacy window|contradd|conflitt')) AS explicit FROM pages_m GROUP BY request_id) LEFT JOIN n USING (request_id)""",
+    "contradictions": f"""WITH {corpus.PAGES_SQL}, n AS (SELECT request_id, count(DISTINCT n) AS numbers FROM (SELECT request_id, unnest(list_transform(regexp_extract_all(body, '\\b[0-9]+(?:[.,][0-9]+)?\\b'), lambda x: replace(x, ',', '.'))) AS n FROM pages_m) GROUP BY request_id)
+SELECT request_id, pages, coalesce(numbers, 0) AS numbers, explicit, pages >= 2 AND (coalesce(numbers, 0) >= 2 OR explicit) AS contradiction FROM (SELECT request_id, count(DISTINCT path) AS pages, bool_or(regexp_matches(body, '(?i)\\b(contradict|conflict|earlier decision|legacy window|contradd|conflitt)')) AS explicit FROM pages_m GROUP BY request_id) LEFT JOIN n USING (request_id)""",
     "required_types": f"SELECT conv_id, turn, array_to_string(list_filter([{_TYPES}], lambda v: v IS NOT NULL), ',') AS types FROM (SELECT conv_id, turn, lower(concat_ws(' ', text, CASE WHEN turn % 3 = 0 THEN 'which tests and decisions?' END)) AS x FROM conversations)",
     "gap_quality": f"WITH {_scores_sql('balanced')}, h1 AS (SELECT * FROM hits WHERE rank = 1), {_facets_sql('h1', 'f1')}, {_facets_sql('hits', 'f10')}, g AS (SELECT f1.coverage < 0.6 AS a, f10.coverage < 0.6 AS b FROM f1 JOIN f10 USING (qid)) SELECT count(*) AS queries, count(*) FILTER (a) AS gaps, count(*) FILTER (a AND NOT b) AS closed, count(*) FILTER (b AND NOT a) AS silent FROM g",
 }

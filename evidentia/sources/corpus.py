@@ -32,10 +32,10 @@ def passages(pages_: DataFrame) -> DataFrame:
     return lines.withColumn("passage_id", T.passage_id(F.lit(""), F.col("text")))
 
 
-def queries(spark: SparkSession, sf_dir: str, terms: int = 12) -> DataFrame:
-    """One query per benchmark passage: its first distinct tokens."""
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per benchmark passage: all its distinct tokens."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("qid"), F.slice(T.distinct_tokens(F.col("text")), 1, terms).alias("terms"))
+    return b.select(F.col("item_id").alias("qid"), T.distinct_tokens(F.col("text")).alias("terms"))
 
 
 #: The same tables for SQL.
@@ -54,4 +54,4 @@ def stable_sql(x: str) -> str:
     return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
 
 
-QUERIES_SQL = f"queries_m AS (SELECT item_id AS qid, {stable_sql('tk')}[1:12] AS terms FROM (SELECT item_id, {tokens_sql('text')} AS tk FROM benchmark))"
+QUERIES_SQL = f"queries_m AS (SELECT item_id AS qid, {stable_sql('tk')} AS terms FROM (SELECT item_id, {tokens_sql('text')} AS tk FROM benchmark))"
