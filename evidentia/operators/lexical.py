@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,22 +35,33 @@ def corpus_stats(pages: DataFrame) -> DataFrame:
     return page_lengths(pages).agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.greatest(F.sum("len") / F.greatest(F.count("*"), F.lit(1)), F.lit(1.0)).alias("avg_len"))
 
 
-def bm25(pages: DataFrame, queries: DataFrame, *, profile: str = "balanced", page_types: list[str] | None = None, k: int | None = 10) -> DataFrame:
+def page_facts(pages: DataFrame) -> DataFrame:
+    """path, type, title and request id in lower case, len (distinct body tokens, at least 1)."""
+    return pages.select("path", "type", F.lower("title").alias("_title"), F.lower("request_id").alias("_request"), F.greatest(F.size(T.distinct_tokens(F.col("body"))), F.lit(1)).cast("long").alias("len"))
+
+
+def bm25(pages: DataFrame | LexicalIndex, queries: DataFrame, *, profile: str = "balanced", page_types: list[str] | None = None, k: int | None = 10) -> DataFrame:
     """qid, path, score, matched, rank: the best pages of each query (columns qid, terms), ties by path.
 
+    `pages` are pages, whose texts are then read, or an index of them, of which only the queries' terms are read.
     The type filter works after the statistics, which stay those of the whole corpus. Scores are rounded to
     six places before they rank. Only postings of query terms are counted: the join with them is before the shuffle.
     """
     k1, b = vocab.PROFILES[profile]
     q = queries.select("qid", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
     wanted = q.select("term").distinct()
-    count = lambda code: F.count_if(F.col("field") == code)
-    posts = _bags(pages).join(wanted, "term").groupBy("path", "term").agg((count(0) + vocab.META_WEIGHT * count(2) + vocab.TITLE_WEIGHT * count(1)).alias("tf"))
+    if isinstance(pages, LexicalIndex):
+        posts, facts = pages.postings(wanted), pages.facts()
+        posts = posts.select("path", "term", (F.col("body_tf") + vocab.META_WEIGHT * F.col("meta_tf") + vocab.TITLE_WEIGHT * F.col("title_tf")).alias("tf"))
+        stats = pages.stats()
+    else:
+        count = lambda code: F.count_if(F.col("field") == code)
+        posts = _bags(pages).join(wanted, "term").groupBy("path", "term").agg((count(0) + vocab.META_WEIGHT * count(2) + vocab.TITLE_WEIGHT * count(1)).alias("tf"))
+        facts, stats = page_facts(pages), corpus_stats(pages)
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    facts = pages.select("path", "type", F.lower("title").alias("_title"), F.lower("request_id").alias("_request"), F.greatest(F.size(T.distinct_tokens(F.col("body"))), F.lit(1)).alias("len"))
     if page_types is not None:
         facts = facts.filter(F.col("type").isin(page_types))
-    rows = posts.join(facts, "path").join(df, "term").join(q, "term").crossJoin(F.broadcast(corpus_stats(pages)))
+    rows = posts.join(facts, "path").join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     exact = F.when((F.col("_request") == F.col("term")) | (F.col("_title") == F.col("term")), vocab.EXACT_BOOST).otherwise(0.0)
@@ -60,6 +71,104 @@ def bm25(pages: DataFrame, queries: DataFrame, *, profile: str = "balanced", pag
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
+class LexicalIndex:
+    """Postings and page facts under a folder, in versions: a base and the deltas after it.
+
+    Postings lie in `BUCKETS` partitions by their term's hash, sorted by term, so a query's terms read only their own.
+    A delta holds the new rows of the pages it touches and their paths; a row counts if no later version touches its page.
+    A version counts once its number is in the log, which is written last. `compact` makes one base of all.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    @classmethod
+    def create(cls, pages: DataFrame, root: str) -> LexicalIndex:
+        index = cls(pages.sparkSession, root)
+        index._write(pages, pages.select("path"), "base")
+        return index
+
+    def log(self) -> DataFrame:
+        """version, kind (base or delta): the last base and what follows it."""
+        rows = self.spark.read.schema("version long, kind string").parquet(f"{self.root}/log")
+        last = rows.filter("kind = 'base'").agg(F.max("version").alias("from"))
+        return rows.join(F.broadcast(last), F.col("version") >= F.col("from")).select("version", "kind")
+
+    def versions(self) -> list[int]:
+        return sorted(r["version"] for r in self.log().collect())
+
+    def _next(self) -> int:
+        try:
+            return self.versions()[-1] + 1
+        except Exception as e:  # the folder isn't there yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return 1
+
+    def _write(self, pages: DataFrame, touched: DataFrame, kind: str) -> None:
+        v = self._next()
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).alias("bucket")
+        posts = postings(pages).select("*", bucket)
+        posts.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/v{v}")
+        page_facts(pages).join(pages.select("path", _fingerprint(pages).alias("fingerprint")), "path").write.mode("overwrite").parquet(f"{self.root}/facts/v{v}")
+        touched.select("path").distinct().write.mode("overwrite").parquet(f"{self.root}/touched/v{v}")
+        self.spark.createDataFrame([(v, kind)], "version long, kind string").coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+
+    def _live(self, name: str) -> DataFrame:
+        """Rows of a table that no later version touches."""
+        found, later = None, None
+        for v in reversed(self.versions()):
+            rows = self.spark.read.parquet(f"{self.root}/{name}/v{v}")
+            rows = rows if later is None else rows.join(later, "path", "left_anti")
+            found = rows if found is None else found.unionByName(rows)
+            touched = self.spark.read.parquet(f"{self.root}/touched/v{v}")
+            later = touched if later is None else later.union(touched).distinct()
+        return found
+
+    def postings(self, wanted: DataFrame | None = None) -> DataFrame:
+        """path, term, body_tf, title_tf, meta_tf; of the terms in `wanted` (column term) only."""
+        rows = self._live("postings")
+        if wanted is not None:
+            rows = rows.join(wanted.select("term", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int").alias("bucket")), ["bucket", "term"])
+        return rows.select("path", "term", "body_tf", "title_tf", "meta_tf")
+
+    def facts(self) -> DataFrame:
+        return self._live("facts").drop("fingerprint")
+
+    def stats(self) -> DataFrame:
+        return self._live("facts").agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.greatest(F.sum("len") / F.greatest(F.count("*"), F.lit(1)), F.lit(1.0)).alias("avg_len"))
+
+    def update(self, changed: DataFrame, removed: DataFrame | None = None) -> None:
+        """Puts pages in or in place of older ones, and takes pages (column path) out."""
+        touched = changed.select("path") if removed is None else changed.select("path").union(removed.select("path"))
+        self._write(changed, touched, "delta")
+
+    def refresh(self, pages: DataFrame) -> dict:
+        """Makes the index that of `pages`, of which only new and changed ones are read into it. Nothing is written if none is."""
+        now = pages.withColumn("fingerprint", _fingerprint(pages))
+        held = self._live("facts").select("path", "fingerprint")
+        changed = now.join(held, ["path", "fingerprint"], "left_anti").drop("fingerprint")
+        removed = held.select("path").join(pages.select("path"), "path", "left_anti")
+        counts = {"changed": changed.count(), "removed": removed.count()}
+        if any(counts.values()):
+            self.update(changed, removed)
+        return counts | {"generation": self.versions()[-1]}
+
+    def compact(self) -> None:
+        """One base of all live rows."""
+        v = self._next()
+        self._live("postings").repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/postings/v{v}")
+        self._live("facts").write.parquet(f"{self.root}/facts/v{v}")
+        self._live("facts").select("path").write.parquet(f"{self.root}/touched/v{v}")
+        self.spark.createDataFrame([(v, "base")], "version long, kind string").coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+
+
+def _fingerprint(pages: DataFrame):
+    return F.xxhash64(*(F.col(c) for c in sorted(pages.columns)))
+
+
 def list_pages(pages: DataFrame, limit: int = 50) -> DataFrame:
     """What an empty query lists: the first pages by path."""
     return pages.select("path", "title", "type").orderBy("path").limit(limit)

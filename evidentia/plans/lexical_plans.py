@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import vocab
 from ..operators import lexical, metrics
 from ..sources import corpus
+from .stored import lexical_index, root
 
 TOK = corpus.tokens_sql
 
@@ -22,19 +23,30 @@ def term_frequency(spark, d):
 
 
 def doc_frequency(spark, d):
-    return lexical.postings(corpus.pages(spark, d)).groupBy("term").agg(F.count("*").alias("df"))
+    return lexical_index(spark, d).postings().groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(spark, d):
-    return lexical.corpus_stats(corpus.pages(spark, d)).select("n", F.round("avg_len", 6).alias("avg_len"))
+    return lexical_index(spark, d).stats().select("n", F.round("avg_len", 6).alias("avg_len"))
 
 
 def postings(spark, d):
     return lexical.postings(corpus.pages(spark, d))
 
 
+def index_maintenance(spark, d):
+    """Postings of an index that began with the pages of even ids in other words, then was brought up to date twice and compacted."""
+    p = corpus.pages(spark, d)
+    even = F.substring("path", 5, 9).cast("long") % 2 == 0
+    index = lexical.LexicalIndex.create(p.filter(even).withColumn("body", F.concat(F.lit("older words "), "body")), f"{root(spark)}/lexical")
+    index.refresh(p.filter(even).unionByName(p.filter(even).withColumn("path", F.concat(F.lit("gone/"), "path"))))
+    index.refresh(p)
+    index.compact()
+    return index.postings()
+
+
 def _bm25(profile, types=None):
-    return lambda spark, d: lexical.bm25(corpus.pages(spark, d), corpus.queries(spark, d), profile=profile, page_types=types)
+    return lambda spark, d: lexical.bm25(lexical_index(spark, d), corpus.queries(spark, d), profile=profile, page_types=types)
 
 
 def list_pages(spark, d):
@@ -47,28 +59,27 @@ def passage_ids(spark, d):
 
 def best_passage(spark, d):
     p, q = corpus.pages(spark, d), corpus.queries(spark, d)
-    return lexical.best_passages(corpus.passages(p), lexical.bm25(p, q), q)
+    return lexical.best_passages(corpus.passages(p), lexical.bm25(lexical_index(spark, d), q), q)
 
 
 def query_coverage(spark, d):
     p, q = corpus.pages(spark, d), corpus.queries(spark, d)
-    hits = lexical.bm25(p, q).select("qid", "path")
+    hits = lexical.bm25(lexical_index(spark, d), q).select("qid", "path")
     near = hits.join(q, "qid").join(p.select("path", "body"), "path")
     return near.select("qid", "path", F.round(F.size(F.array_intersect("terms", T.distinct_tokens(F.col("body")))) / F.size("terms"), 6).alias("coverage"))
 
 
 def judgements(spark, d):
     """A page is relevant to a query if at least half of the query's terms are in its body; grade 2 for all of them."""
-    p, q = corpus.pages(spark, d), corpus.queries(spark, d)
-    terms = q.select("qid", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
-    found = p.select("path", F.explode(T.distinct_tokens(F.col("body"))).alias("term")).join(terms, "term").groupBy("qid", "path").agg(F.count("*").alias("hit"), F.first("asked").alias("asked"))
+    terms = corpus.queries(spark, d).select("qid", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
+    found = lexical_index(spark, d).postings(terms.select("term").distinct()).filter("body_tf > 0").join(terms, "term").groupBy("qid", "path").agg(F.count("*").alias("hit"), F.first("asked").alias("asked"))
     return found.filter("hit * 2 >= asked").select("qid", "path", F.when(F.col("hit") == F.col("asked"), 2).otherwise(1).alias("grade"))
 
 
 def _metric(name, k=10):
     def run(spark, d):
-        p, q = corpus.pages(spark, d), corpus.queries(spark, d)
-        return metrics.evaluation(lexical.bm25(p, q, k=k), judgements(spark, d), k).select("qid", name)
+        q = corpus.queries(spark, d)
+        return metrics.evaluation(lexical.bm25(lexical_index(spark, d), q, k=k), judgements(spark, d), k).select("qid", name)
 
     return run
 
@@ -113,7 +124,7 @@ def _with(*parts):
 QUERIES = {
     "tokenize": tokenize, "term_frequency": term_frequency, "doc_frequency": doc_frequency, "corpus_stats": corpus_stats, "postings": postings,
     "bm25_balanced": _bm25("balanced"), "bm25_precision": _bm25("precision"), "bm25_coverage": _bm25("coverage"), "bm25_type_filter": _bm25("balanced", ["fr", "de"]),
-    "list_pages": list_pages, "passage_ids": passage_ids, "best_passage": best_passage, "query_coverage": query_coverage,
+    "index_maintenance": index_maintenance, "list_pages": list_pages, "passage_ids": passage_ids, "best_passage": best_passage, "query_coverage": query_coverage,
     "precision_at_k": _metric("precision"), "recall_at_k": _metric("recall"), "mrr": _metric("mrr"), "ndcg_at_k": _metric("ndcg"),
 }
 _TOP = "SELECT qid, path, score, matched, rank::INTEGER AS rank FROM hits"
@@ -123,6 +134,7 @@ ORACLES = {
     "doc_frequency": _with(_scores_sql("balanced")) + " SELECT term, df FROM dfs",
     "corpus_stats": _with(_scores_sql("balanced")) + " SELECT n, round(avg_len, 6) AS avg_len FROM stat",
     "postings": _with(_scores_sql("balanced")) + " SELECT path, term, body_tf, title_tf, meta_tf FROM posts",
+    "index_maintenance": _with(_scores_sql("balanced")) + " SELECT path, term, body_tf, title_tf, meta_tf FROM posts",
     "bm25_balanced": _with(_scores_sql("balanced")) + "\n" + _TOP, "bm25_precision": _with(_scores_sql("precision")) + "\n" + _TOP,
     "bm25_coverage": _with(_scores_sql("coverage")) + "\n" + _TOP, "bm25_type_filter": _with(_scores_sql("balanced", ["fr", "de"])) + "\n" + _TOP,
     "list_pages": _with(corpus.PAGES_SQL) + " SELECT path, title, type FROM pages_m ORDER BY path LIMIT 50",

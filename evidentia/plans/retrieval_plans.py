@@ -9,6 +9,7 @@ from ..functions import vocab
 from ..operators import fusion, lexical, vector
 from ..sources import corpus
 from .lexical_plans import _scores_sql
+from .stored import lexical_index
 
 
 def vectors(spark, d):
@@ -44,7 +45,7 @@ def lists(spark, d):
     """Lexical, semantic and graph lists of all benchmark queries: the vector of the query's id (if there is one) stands for its
     meaning, the pages of the best hit's request for its neighbourhood; stated rules."""
     p, q = corpus.pages(spark, d), corpus.queries(spark, d)
-    lex = lexical.bm25(p, q, k=20)
+    lex = lexical.bm25(lexical_index(spark, d), q, k=20)
     v = vectors(spark, d)
     sem = vector.exact(v, v.join(q.select(F.col("qid").alias("id")), "id", "left_semi"), k=20).select("qid", _path("id").alias("path"), "score", "rank")
     seed = lex.filter("rank = 1").join(p.select("path", "request_id"), "path").select("qid", F.col("path").alias("seed"), "request_id")
@@ -60,7 +61,7 @@ def rrf_fusion(spark, d):
 
 def merge_hits(spark, d):
     p, q = corpus.pages(spark, d), corpus.queries(spark, d)
-    return fusion.merged([lexical.bm25(p, q, profile="balanced"), lexical.bm25(p, q, profile="precision")], 10)
+    return fusion.merged([lexical.bm25(lexical_index(spark, d), q, profile="balanced"), lexical.bm25(lexical_index(spark, d), q, profile="precision")], 10)
 
 
 def hybrid_fused(spark, d):
@@ -70,7 +71,7 @@ def hybrid_fused(spark, d):
 
 def _budget(spark, d, budget=2000):
     p, q = corpus.pages(spark, d), corpus.queries(spark, d)
-    hits = lexical.bm25(p, q).join(p.select("path", F.ceil(F.octet_length("body") / 3).alias("tokens")), "path")
+    hits = lexical.bm25(lexical_index(spark, d), q).join(p.select("path", F.ceil(F.octet_length("body") / 3).alias("tokens")), "path")
     return p, q, hits, fusion.within_budget(hits, "tokens", budget)
 
 
@@ -80,7 +81,7 @@ def token_budget_prefix(spark, d):
 
 def facet_coverage(spark, d):
     p, q = corpus.pages(spark, d), corpus.queries(spark, d)
-    return fusion.facet_coverage(q, lexical.bm25(p, q, k=3), p.select("path", "body"))
+    return fusion.facet_coverage(q, lexical.bm25(lexical_index(spark, d), q, k=3), p.select("path", "body"))
 
 
 def budget_limited_gaps(spark, d):
@@ -103,7 +104,7 @@ def required_types(spark, d):
 def facet_gap_quality(spark, d):
     """Of queries, how many have a facet gap with three hits, and how many of those close with ten."""
     p, q = corpus.pages(spark, d), corpus.queries(spark, d)
-    few, many = (fusion.facet_coverage(q, lexical.bm25(p, q, k=k), p.select("path", "body")).select("qid", (F.col("coverage") < 0.6).alias(f"g{k}")) for k in (1, 10))
+    few, many = (fusion.facet_coverage(q, lexical.bm25(lexical_index(spark, d), q, k=k), p.select("path", "body")).select("qid", (F.col("coverage") < 0.6).alias(f"g{k}")) for k in (1, 10))
     return few.join(many, "qid").agg(F.count("*").alias("queries"), F.count_if("g1").alias("gaps"), F.count_if(F.col("g1") & ~F.col("g10")).alias("closed"), F.count_if(~F.col("g1") & F.col("g10")).alias("silent"))
 
 
