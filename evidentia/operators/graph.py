@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from .kept import kept
 
 
 def _typed(kind: str, value: Column) -> Column:
@@ -207,9 +208,12 @@ def expand_exact(edges: DataFrame, kinds: DataFrame, seeds: DataFrame, *, max_no
     max_visited = max(max_nodes, max_visited or max(4 * max_nodes, 32))
     adj = adjacency(edges).join(kinds.withColumnRenamed("kind", "node_kind"), "node").filter(~F.col("node_kind").isin(vocab.HUB_KINDS))
     adj = adj.join(kinds.select(F.col("node").alias("neighbor"), F.col("kind").alias("other_kind")), "neighbor").join(degrees(edges).select(F.col("node").alias("neighbor"), "degree"), "neighbor")
-    reach = seeds.select("qid", "node").distinct()
+    # hop by hop from what the last hop has found; each hop is kept, so that the next ones don't repeat it
+    adj = kept(adj)
+    reach = last = seeds.select("qid", "node").distinct()
     for _ in range(2 * depth):
-        reach = reach.unionByName(reach.join(adj, "node").select("qid", F.col("neighbor").alias("node"))).distinct()
+        last = kept(last.join(adj, "node").select("qid", F.col("neighbor").alias("node")).distinct().join(reach, ["qid", "node"], "left_anti"))
+        reach = reach.unionByName(last)
     local = reach.join(adj, "node").select("qid", "node", "node_kind", "neighbor", "other_kind", "degree", "kind", "weight", F.lit(None).cast("double").alias("score"))
     start = seeds.join(kinds, "node", "left").select("qid", "node", F.col("kind").alias("node_kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("neighbor", "string"), ("other_kind", "string"), ("degree", "long"), ("kind", "string"), ("weight", "double"))), F.col("score").cast("double").alias("score"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..operators import code, context, fusion, governance, graph, lexical
+from ..operators.kept import kept
+from ..sources import code as code_files
 from ..sources import corpus
 from ..streaming import incremental
 from .graph_plans import _ROLES, role_pages
@@ -58,6 +60,47 @@ def parts_as_fragments(spark, d):
     return t.select(F.concat(F.lit("src/"), F.regexp_replace(F.col("p_brand"), "[# ]", ""), F.lit(".ts")).alias("path"), F.col("p_partkey").cast("int").alias("start_line"), name.alias("symbol"), F.concat_ws(".", F.col("p_brand"), name).alias("qualified_name"), F.when(F.col("p_partkey") % 10 == 0, "module").otherwise("function").alias("kind"), F.col("p_type").alias("definition"), F.split("p_type", " ").alias("calls"), F.split("p_name", " ").alias("refs"), F.array("p_brand").alias("imports"))
 
 
+#: Extension and text of a file that defines $N and calls $C, in six languages.
+SOURCES = [
+    (".ts", "// about it\nexport function $N(a) {\n  return $C(a);\n}\n"),
+    (".java", "class K$N {\n  public int $N(int a) {\n    return $C(a); // f(x)\n  }\n}\n"),
+    (".py", "def $N(a):\n    return $C(a)\n"),
+    (".go", "package p\nfunc $N(a int) int {\n  return $C(a)\n}\n"),
+    (".rs", "fn $N(a: i32) -> i32 {\n  $C(a)\n}\n"),
+    (".rb", "def $N(a)\n  $C(a)\nend\n"),
+]
+
+
+def code_texts(spark, d):
+    """Every part as a code file: its key names the symbol, its supplier-like rest the call; a stated rule."""
+    k = F.col("p_partkey")
+    pick = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in SOURCES)), (k % len(SOURCES) + 1).cast("int"))
+    text = F.replace(F.replace(pick(1), F.lit("$N"), F.concat(F.lit("fn"), k.cast("string"))), F.lit("$C"), F.concat(F.lit("fn"), (k % 97).cast("string")))
+    return corpus.table(spark, d, "part").select(F.concat(F.lit("src/f"), k.cast("string"), pick(0)).alias("path"), text.alias("content"))
+
+
+def _functions(fragments):
+    return fragments.filter("kind = 'function'").select("path", "symbol", "start_line", "end_line", F.array_join("calls", ",").alias("calls"))
+
+
+def code_fragments(spark, d):
+    return _functions(code_files.fragments(code_texts(spark, d)))
+
+
+def code_incremental(spark, d):
+    """As `code_fragments`, brought up to date from an index of older texts of half of the files, some of them gone since."""
+    now = code_texts(spark, d)
+    n = F.length("path") % 2 == 0
+    older = now.filter(n).withColumn("content", F.when(F.col("path").endswith("1.py"), F.lit("def old():\n    pass\n")).otherwise(F.col("content"))).unionByName(now.filter(n).withColumn("path", F.concat(F.lit("gone/"), "path")))
+    return _functions(code_files.refreshed(now, kept(code_files.refreshed(older))))
+
+
+def code_callers(spark, d):
+    """Files with a function that calls one of three functions."""
+    names = spark.createDataFrame([("fn1",), ("fn2",), ("fn96",)], "target string")
+    return code.references(code_files.fragments(code_texts(spark, d)).filter("kind = 'function'"), names).filter("how = 'call'").select("target", "path").distinct()
+
+
 def code_search(spark, d):
     return code.search(parts_as_fragments(spark, d), "brand steel", 25)
 
@@ -108,7 +151,7 @@ def user_sessions(spark, d):
     return incremental.sessions(corpus.table(spark, d, "events"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_buckets, evidence_order, impact_edges, graph_dependencies, progressive_widening, code_search, code_symbol, code_references, document_review, document_ready, page_lint, event_windows, user_sessions)}
+QUERIES = {f.__name__: f for f in (evidence_buckets, evidence_order, impact_edges, graph_dependencies, progressive_widening, code_fragments, code_incremental, code_callers, code_search, code_symbol, code_references, document_review, document_ready, page_lint, event_windows, user_sessions)}
 
 _NOTED = f"""{_ROLES}, noted AS (SELECT r.* EXCLUDE (type), {vocab.PAGE_TYPES!r}[doc_id % 20 + 1] AS type, doc_id // 20 AS qid, doc_id % 20 + 1 AS rank, {NOTES!r}[doc_id // 5 % 8 + 1] AS body, CASE WHEN doc_id % 3 = 0 THEN 'regression test' ELSE 'misc' END AS tags FROM roles r JOIN documents ON path = 'doc/' || lpad(doc_id::VARCHAR, 9, '0') || '.md')"""
 
@@ -137,6 +180,7 @@ def _search_sql(query):
     return f"({base} + {' + '.join(points)} + ({hit})::DOUBLE / {len(points)} * 20) * CASE WHEN module THEN 0.72::DOUBLE ELSE 1.0 END"
 
 
+_FUNCTIONS = "SELECT 'src/f' || p_partkey || ['.ts', '.java', '.py', '.go', '.rs', '.rb'][p_partkey % 6 + 1] AS path, 'fn' || p_partkey AS symbol, [2, 2, 1, 2, 1, 1][p_partkey % 6 + 1]::INTEGER AS start_line, [4, 4, 2, 4, 3, 3][p_partkey % 6 + 1]::INTEGER AS end_line, CASE WHEN p_partkey = p_partkey % 97 THEN '' ELSE 'fn' || (p_partkey % 97) END AS calls FROM part"
 _CHR = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 _ADDED_SQL = " || ".join(f"CASE WHEN conv_id % {n} = {k} THEN {_CHR(t)} ELSE '' END" for n, k, t in ADDED)
 # which of the added texts a code comes from; of the turns' own texts only the rules for words could match, and are asked
@@ -154,6 +198,8 @@ ORACLES = {
     "evidence_buckets": f"WITH {_NOTED} " + " UNION ALL ".join(f"SELECT qid, '{c}' AS category, path FROM noted WHERE {t}" for c, t in _TESTS.items()),
     "impact_edges": f"WITH {_ROLE_EDGES}, ro AS (SELECT 'page:' || path AS root FROM roles WHERE type = 'implementation') SELECT root, 'outgoing' AS direction, kind, dst AS node FROM re JOIN ro ON src = root UNION ALL SELECT root, 'incoming', kind, src FROM re JOIN ro ON dst = root",
     "graph_dependencies": f"WITH {_ROLE_EDGES}, h AS (SELECT doc_id // 20 AS qid, 'doc/' || lpad(doc_id::VARCHAR, 9, '0') || '.md' AS path FROM documents WHERE doc_id % 20 < 4) SELECT DISTINCT b.qid, b.path FROM re JOIN h a ON src = 'page:' || a.path JOIN h b ON dst = 'page:' || b.path AND a.qid = b.qid",
+    "code_fragments": _FUNCTIONS, "code_incremental": _FUNCTIONS,
+    "code_callers": f"SELECT DISTINCT calls AS target, path FROM ({_FUNCTIONS}) WHERE calls IN ('fn1', 'fn2', 'fn96') AND calls <> symbol",
     "code_search": f"WITH {_PARTS} SELECT path, start_line, symbol, score FROM (SELECT path, start_line, symbol, round({_search_sql('brand steel')}, 6) AS score FROM fr) WHERE score > 0 ORDER BY score DESC, path, start_line LIMIT 25",
     "code_symbol": f"WITH {_PARTS} SELECT path, start_line, symbol, qualified_name, 160 AS score FROM fr WHERE lower(symbol) = 'small_widget' ORDER BY path, start_line LIMIT 25",
     "code_references": f"WITH {_PARTS}, t AS (SELECT DISTINCT unnest(string_split(p_type, ' ')) AS target FROM part), u AS (SELECT path, start_line, symbol, lower(unnest(calls)) AS n, 0 AS k FROM fr UNION ALL SELECT path, start_line, symbol, lower(unnest(refs)), 1 FROM fr UNION ALL SELECT path, start_line, symbol, lower(imports), 2 FROM fr) SELECT target, ['call', 'reference', 'import'][k + 1] AS how, count(*) AS n FROM (SELECT target, path, start_line, min(k) AS k FROM u JOIN t ON n = lower(target) WHERE lower(symbol) <> lower(target) GROUP BY ALL) GROUP BY ALL",

@@ -6,8 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators import fusion, lexical, vector
+from ..operators import coverage, fusion, graph, hybrid, lexical, vector
 from ..sources import corpus
+from ..functions import text as T
+from .graph_plans import role_pages
 from .lexical_plans import _scores_sql
 from .stored import lexical_index
 
@@ -101,6 +103,40 @@ def required_types(spark, d):
     return c.select("conv_id", "turn", F.array_join(fusion.required_types(F.concat_ws(" ", "text", F.when(F.col("turn") % 3 == 0, F.lit("which tests and decisions?")))), ",").alias("types"))
 
 
+def _hybrid(spark, d):
+    """The benchmark's texts against the documents as pages of requests of 20, with the vectors' list of each query's id."""
+    roles = role_pages(spark, d)
+    p = corpus.pages(spark, d).drop("title", "type", "request_id").join(roles, "path")
+    p = p.withColumn("heading", F.lit("")).withColumn("excerpt", T.excerpt(F.split("body", "\n")[0]))
+    edges, kinds = graph.role_edges(roles), roles.select(F.concat(F.lit("page:"), "path").alias("node"), F.lit("page").alias("kind"))
+    q = corpus.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    v = vectors(spark, d)
+    sem = vector.exact(v, v.join(q.select(F.col("qid").alias("id")), "id", "left_semi"), k=40).select("qid", _path("id").alias("path"), "rank")
+    return hybrid.retrieve(lexical_index(spark, d), p, edges, kinds, q, sem)
+
+
+def hybrid_retrieval(spark, d):
+    """Hits with the level that gave them, and what their query still lacks."""
+    hits, reports = _hybrid(spark, d)
+    return hits.join(reports.select("qid", "facet_coverage", F.array_join("gaps", ",").alias("gaps"), F.array_join("limited", ",").alias("limited")), "qid")
+
+
+def coverage_concepts(spark, d):
+    """Facets, entities and wanted types of every turn of the conversations."""
+    c = corpus.table(spark, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
+    return coverage.concepts(coverage.requirements(c))
+
+
+def exact_signals(spark, d):
+    return corpus.table(spark, d, "documents").select("doc_id", coverage.exact_signal(F.coalesce("text", F.lit(""))).alias("exact"))
+
+
+def type_satisfaction(spark, d):
+    """Which of a query's wanted types pages of each type and tag satisfy."""
+    t = spark.createDataFrame([(x, g) for x in vocab.PAGE_TYPES for g in ("a regression suite", "untested")], "type string, tags string")
+    return t.select("type", "tags", F.explode(F.array(*map(F.lit, vocab.REQUIRED_TYPE_WORDS))).alias("wanted")).withColumn("met", coverage.satisfies(F.col("type"), F.col("tags"), F.col("wanted")))
+
+
 def facet_gap_quality(spark, d):
     """Of queries, how many have a facet gap with three hits, and how many of those close with ten."""
     p, q = corpus.pages(spark, d), corpus.queries(spark, d)
@@ -112,6 +148,7 @@ QUERIES = {
     "cosine_topk": cosine_topk, "lsh_candidates": lsh_candidates, "semantic_coverage_max": semantic_coverage_max, "rrf_fusion": rrf_fusion, "merge_hits": merge_hits,
     "hybrid_fused": hybrid_fused, "token_budget_prefix": token_budget_prefix, "facet_coverage": facet_coverage, "budget_limited_gaps": budget_limited_gaps,
     "contradictions": contradictions, "required_types": required_types, "gap_quality": facet_gap_quality,
+    "hybrid_retrieval": hybrid_retrieval, "coverage_concepts": coverage_concepts, "exact_signals": exact_signals, "type_satisfaction": type_satisfaction,
 }
 
 _COS = "round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
@@ -168,5 +205,7 @@ ORACLES = {
     "contradictions": f"""WITH {corpus.PAGES_SQL}, n AS (SELECT request_id, count(DISTINCT n) AS numbers FROM (SELECT request_id, unnest(list_transform(regexp_extract_all(body, '\\b[0-9]+(?:[.,][0-9]+)?\\b'), lambda x: replace(x, ',', '.'))) AS n FROM pages_m) GROUP BY request_id)
 SELECT request_id, pages, coalesce(numbers, 0) AS numbers, explicit, pages >= 2 AND (coalesce(numbers, 0) >= 2 OR explicit) AS contradiction FROM (SELECT request_id, count(DISTINCT path) AS pages, bool_or(regexp_matches(body, '(?i)\\b(contradict|conflict|earlier decision|legacy window|contradd|conflitt)')) AS explicit FROM pages_m GROUP BY request_id) LEFT JOIN n USING (request_id)""",
     "required_types": f"SELECT conv_id, turn, array_to_string(list_filter([{_TYPES}], lambda v: v IS NOT NULL), ',') AS types FROM (SELECT conv_id, turn, lower(concat_ws(' ', text, CASE WHEN turn % 3 = 0 THEN 'which tests and decisions?' END)) AS x FROM conversations)",
+    "exact_signals": r"SELECT doc_id, regexp_matches(coalesce(text, ''), '\p{L}[\p{L}\p{N}]*[-_:/][\p{L}\p{N}._:/-]*[0-9]|[0-9]{2,}') AS exact FROM documents",
+    "type_satisfaction": f"WITH t AS (SELECT unnest({vocab.PAGE_TYPES!r}) AS type), g AS (SELECT unnest(['a regression suite', 'untested']) AS tags), w AS (SELECT unnest({list(vocab.REQUIRED_TYPE_WORDS)!r}) AS wanted) SELECT type, tags, wanted, type = wanted OR (wanted = 'requirement' AND type IN ('request', 'candidate_request')) OR (wanted = 'implementation' AND type IN {tuple(vocab.COMPONENT_TYPES)!r}) OR (wanted = 'test_result' AND type = 'analysis' AND tags = 'a regression suite') AS met FROM t, g, w",
     "gap_quality": f"WITH {_scores_sql('balanced')}, h1 AS (SELECT * FROM hits WHERE rank = 1), {_facets_sql('h1', 'f1')}, {_facets_sql('hits', 'f10')}, g AS (SELECT f1.coverage < 0.6 AS a, f10.coverage < 0.6 AS b FROM f1 JOIN f10 USING (qid)) SELECT count(*) AS queries, count(*) FILTER (a) AS gaps, count(*) FILTER (a AND NOT b) AS closed, count(*) FILTER (b AND NOT a) AS silent FROM g",
 }

@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from ..operators.kept import root
 from ..operators.lexical import LexicalIndex
 from ..sources import corpus
 
 _BUILT: dict[tuple, LexicalIndex] = {}
 
 
-def root(spark) -> str:
-    """The folder for stored tables: under spark.checkpoint.dir, which driver and executors share; one of our own only on a local master."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="evidentia-")
-    return f"{base.rstrip('/')}/evidentia-{uuid.uuid4().hex}"
-
-
 def _state(spark, path: str) -> tuple:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
