@@ -108,10 +108,16 @@ def test_twenty_pages_of_a_request_make_twenty_edges(spark):
     assert graph.metadata_edges(pages).filter("kind = 'same_request'").count() == 20
 
 
-def test_links_resolve_by_title_and_file(spark):
-    pages = spark.createDataFrame([("a.md", "A", "[[b page]] [x](dir/My_File.md) [[none]]"), ("b.md", "B page", ""), ("c.md", "B page", ""), ("dir/my-file.md", "F", "")], "path string, title string, body string")
-    got = {r.target: r.resolved for r in graph.resolved_links(pages).collect()}
-    assert got == {"b page": "c.md", "dir/My_File.md": "dir/my-file.md", "none": None}
+def test_links_resolve_by_title_file_and_path(spark):
+    """A target in .md is a path from the linking page's folder, exactly; others are titles, then file names."""
+    rows = [("a.md", "A", "[[b page]] [x](dir/my-file.md) [y](dir/My_File.md) [[none]] [[My File]]"), ("b.md", "B page", ""), ("c.md", "B page", ""), ("dir/my-file.md", "F", "[u](../a.md) [v](./other.md) [w](a.md)"), ("dir/other.md", "O", ""), ("other.md", "P", "")]
+    pages = spark.createDataFrame(rows, "path string, title string, body string")
+    got = {(r.path, r.target): r.resolved for r in graph.resolved_links(pages).collect()}
+    a = {"b page": "c.md", "dir/my-file.md": "dir/my-file.md", "dir/My_File.md": None, "none": None, "My File": "dir/my-file.md"}
+    f = {"../a.md": "a.md", "./other.md": "dir/other.md", "a.md": None}
+    assert got == {("a.md", k): v for k, v in a.items()} | {("dir/my-file.md", k): v for k, v in f.items()}
+    names = spark.createDataFrame([("b PAGE",), ("other",)], "name string")
+    assert {(r.name, r.path) for r in graph.link_matches(pages, names).collect()} == {("b PAGE", "b.md"), ("b PAGE", "c.md"), ("other", "dir/other.md"), ("other", "other.md")}
 
 
 def test_set_wise_expansion_is_the_walk(spark):
