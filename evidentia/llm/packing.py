@@ -215,7 +215,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, cap: int = 2048, end_id: int
     return rows.mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
 
 
-def pack(parts: DataFrame, *, cap: int = 2048, share: int = 100_000) -> DataFrame:
+def pack(parts: DataFrame, *, cap: int = 2048, share: int = 2_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns doc_id, piece, length at least; a table in the shared folder).
 
     A length is ranked in shares of about `share` pieces, as many as its count asks for, so that no length is ranked
