@@ -35,9 +35,9 @@ def corpus_stats(pages: DataFrame) -> DataFrame:
     return page_lengths(pages).agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.greatest(F.sum("len") / F.greatest(F.count("*"), F.lit(1)), F.lit(1.0)).alias("avg_len"))
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """path, type, title and request id in lower case, len (distinct body tokens, at least 1)."""
-    return pages.select("path", "type", F.lower("title").alias("_title"), F.lower("request_id").alias("_request"), F.greatest(F.size(T.distinct_tokens(F.col("body"))), F.lit(1)).cast("long").alias("len"))
+def page_facts(pages: DataFrame, *more) -> DataFrame:
+    """path, type, title and request id in lower case, len (distinct body tokens, at least 1), and the columns `more`."""
+    return pages.select(*more, "path", "type", F.lower("title").alias("_title"), F.lower("request_id").alias("_request"), F.greatest(F.size(T.distinct_tokens(F.col("body"))), F.lit(1)).cast("long").alias("len"))
 
 
 def bm25(pages: DataFrame | LexicalIndex, queries: DataFrame, *, profile: str = "balanced", page_types: list[str] | None = None, k: int | None = 10) -> DataFrame:
@@ -112,7 +112,7 @@ class LexicalIndex:
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).alias("bucket")
         posts = postings(pages).select("*", bucket)
         posts.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/v{v}")
-        page_facts(pages).join(pages.select("path", _fingerprint(pages).alias("fingerprint")), "path").write.mode("overwrite").parquet(f"{self.root}/facts/v{v}")
+        page_facts(pages, _fingerprint(pages).alias("fingerprint")).write.mode("overwrite").parquet(f"{self.root}/facts/v{v}")
         touched.select("path").distinct().write.mode("overwrite").parquet(f"{self.root}/touched/v{v}")
         self.spark.createDataFrame([(v, kind)], "version long, kind string").coalesce(1).write.mode("append").parquet(f"{self.root}/log")
 

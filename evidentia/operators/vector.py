@@ -82,7 +82,10 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, minimum: floa
 def exact(vectors: DataFrame, queries: DataFrame, *, k: int = 10, minimum: float = -1.0, most_queries: int = 1000) -> DataFrame:
     """Brute force for a stated set of query vectors: broadcast if their counted number is at most `most_queries`; beyond it
     they are dealt in blocks of that many, and every vector meets every block by an equi-join on the block's number."""
-    q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    # norms once for each vector, not for each pair
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), norm("vec").alias("_qn"))
+    vectors = vectors.select("id", "vec", norm("vec").alias("_n"))
     n = q.count()
     if n <= most_queries:
         both = vectors.crossJoin(F.broadcast(q))
@@ -90,4 +93,5 @@ def exact(vectors: DataFrame, queries: DataFrame, *, k: int = 10, minimum: float
         blocks = -(-n // most_queries)
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
         both = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(q.withColumn("_block", block("qid")), "_block")
-    return top(both.select("qid", "id", cosine(F.col("vec"), F.col("qvec")).alias("score")), k, minimum)
+    score = F.when(F.col("_n") * F.col("_qn") == 0, -1.0).otherwise(dot(F.col("vec"), F.col("qvec")) / (F.col("_n") * F.col("_qn")))
+    return top(both.select("qid", "id", score.alias("score")), k, minimum)
