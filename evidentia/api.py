@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import code, context, evidence, fusion, governance, graph, lexical
+from .operators import code, context, evidence, fusion, governance, graph, lexical, moves
 from .sources import code as code_files
 from .sources import pages as page_files
 
@@ -103,10 +103,15 @@ class Workspace:
         return Workspace(self.spark, self.pages.filter(F.col("path") != path), self.files, self.limits)
 
     def move(self, old: str, new: str) -> Workspace:
-        """A page under another path, with the links to it rewritten."""
-        stem = lambda p: p.rsplit("/", 1)[-1].removesuffix(".md")
-        body = F.replace(F.replace("body", F.lit(f"]({old}"), F.lit(f"]({new}")), F.lit(f"[[{stem(old)}]]"), F.lit(f"[[{stem(new)}]]"))
-        return Workspace(self.spark, self.pages.withColumns({"body": body, "path": F.when(F.col("path") == old, new).otherwise(F.col("path"))}), self.files, self.limits)
+        """A page under another path, with the links to it and its own rewritten. This workspace stays as it is: go on with it to undo."""
+        return Workspace(self.spark, moves.moved(self.pages, old, new), self.files, self.limits)
+
+    def move_changes(self, old: str, new: str) -> DataFrame:
+        """The references that a move would rewrite; nothing is changed."""
+        return moves.link_changes(self.pages, old, new)
+
+    def content_warnings(self, written: DataFrame) -> DataFrame:
+        return moves.content_warnings(self.pages, written)
 
     # ingest
     def segments(self, sources: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ def keys(vectors: DataFrame, normals: np.ndarray, probes: int) -> DataFrame:
             n = sigs.shape[2]
             yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), tables * n), "table": np.tile(np.repeat(np.arange(tables), n), len(m)).astype(np.int32), "sig": sigs.ravel().astype(np.int64)})
 
-    return vectors.select("id", "vec").mapInPandas(sign, "id long, table int, sig long")
+    kind = vectors.schema["id"].dataType.simpleString()
+    return vectors.select("id", "vec").mapInPandas(sign, f"id {kind}, table int, sig long")
 
 
 def dot(a: Column, b: Column) -> Column:
