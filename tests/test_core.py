@@ -1,6 +1,7 @@
 """Text functions, sources, operators on small inputs with known results."""
 
 import io
+import time
 import zipfile
 
 import numpy as np
@@ -225,6 +226,37 @@ def test_code_fragments_of_every_language():
     assert code_files.extract("a.txt", "x") == [] and code_files.language_for("x.d.ts").name == "typescript"
 
 
+#: Text that isn't code, names with packages and owners, routes with the path of their type: (file, text, qualified names, routes of one).
+MASKS = [
+    ("a.java", 'package com.a;\n@RequestMapping("/orders")\npublic class C {\n  /** Load one. */\n  @GetMapping("/{id}")\n  public Order load(String id) {\n    String x = """\n  class No { void f() {\n""";\n    return find(id);\n  }\n}\n', ["com.a.C", "com.a.C#load"], ("GET", "/orders/{id}")),
+    ("a.rs", '/* a /* fn no() {} */ fn no2() {} */\nstruct S;\nimpl T for S {\n  fn go(&self) { let x = r##"fn n() { "# "##; run(\'{\') }\n}\nfn free() {}\n', ["S", "S::go", "free"], None),
+    ("a.kt", 'package x.y\nclass C {\n  fun f(): String { return "a ${ g("}") } }" }\n  fun h() {}\n}\n', ["x.y.C", "x.y.C.f", "x.y.C.h"], None),
+    ("a.go", "package shop\ntype Shop struct {\n}\nfunc (s *Shop) Total(a int) int {\n  return add(a)\n}\nfunc free() {}\n", ["Shop.Total", "shop.Shop", "shop.free"], None),
+    ("a.php", '<?php\nnamespace App\\Orders;\nclass Shop {\n  function total($a) { $q = <<<SQL\nx {\nSQL;\n return add($a); }\n}\n?>\n<p>function no() {</p>\n<?php function yes() {}\n', ["App\\Orders\\Shop", "App\\Orders\\Shop::total", "App\\Orders\\yes"], None),
+    ("a.cpp", '#define X(a) \\\n  int no() { }\nnamespace n {\nclass Shop {\n int total(int a) {\n  return add(R"x({ )" )x");\n}\n};\n}\n', ["n", "n::Shop", "n::Shop::total"], None),
+    ("a.cs", 'namespace N.M {\n  [Route("api/orders")]\n  public class Shop {\n    [HttpGet("{id}")]\n    public int Total(int a) { var s = $"{F("}")} }}"; var v = @"c:\\"; return Add(a); }\n  }\n}\n', ["N.M", "N.M.Shop", "N.M.Shop.Total"], ("GET", "/api/orders/{id}")),
+    ("a.rb", "class Shop\n  def total(a)\n    q = <<~SQL\n      def no\n    SQL\n    add(a)\n  end\n  def b\n  end\nend\n", ["Shop", "Shop#b", "Shop#total"], None),
+    ("a.trigger", "trigger T on Account (before insert, after update) {\n  f();\n}\n", ["T"], ("TRIGGER", "BEFORE INSERT")),
+    ("a.cls", "@RestResource(urlMapping='/accounts/*')\nglobal class A {\n  @HttpGet\n  global static Account load() {\n    return q();\n  }\n}\n", ["A", "A.load"], ("GET", "/accounts/*")),
+    ("a.ts", "const a = `x ${ f(`}`) } class No {`;\nexport class Yes {\n  go(): void {\n    run()\n  }\n}\n", ["Yes", "Yes.go"], None),
+]
+
+
+@pytest.mark.parametrize("path,text,names,route", MASKS)
+def test_code_is_told_from_text(path, text, names, route):
+    got = [f for f in code_files.extract(path, text) if f["kind"] != "module"]
+    assert sorted(f["qualified_name"] for f in got) == names
+    assert route is None or {"method": route[0], "path": route[1]} in got[-1]["routes"]
+    assert path != "a.java" or got[-1]["doc_comment"] == "Load one."
+
+
+@pytest.mark.parametrize("path,text", [("a.cs", '$"' + "{a" * 50_000), ("a.kt", '"' + "${a" * 50_000), ("a.ts", "`" + "${a" * 50_000), ("a.rs", "/*" * 50_000), ("a.php", "<<<A\n" * 50_000), ("a.cpp", 'R"(' * 50_000), ("a.java", '"""' * 50_001), ("a.js", "/* " * 50_000)])
+def test_open_strings_and_comments_cost_little(path, text):
+    start = time.time()
+    assert len(code_files.extract(path, text)) >= 1
+    assert time.time() - start < 20
+
+
 def test_code_search(spark, tmp_path):
     for path, (text, _) in SAMPLES.items():
         (tmp_path / path).parent.mkdir(exist_ok=True)
