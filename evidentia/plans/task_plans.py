@@ -7,7 +7,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from ..operators import context, graph, moves, semantic, task
+from ..operators import assets, context, graph, moves, semantic, task
 from ..operators.kept import kept, root
 from ..sources import corpus
 from .context_plans import _NOTED, _ROLE_EDGES, _TESTS, noted_pages
@@ -109,8 +109,30 @@ def migration_regressions(spark, d):
     return moves.regressions(side(p, n % 2 == 0), side(p.filter(n % 100 != 25), n % 3 > 0))
 
 
-QUERIES = {f.__name__: f for f in (task_buckets, task_gaps, task_impact, semantic_sync, move_changes, move_applied, page_warnings, migration_regressions)}
+#: An image's address, and what its check finds (severity, code), with the assets below.
+IMAGES = [
+    ("https://x.org/a.png", "WARNING", "ASSET_REMOTE"), ("JavaScript:x", "BLOCKER", "ASSET_UNSAFE_URI"), ("java&#115;cript:x", "BLOCKER", "ASSET_UNSAFE_URI"), ("ftp://x/a.png", "WARNING", "ASSET_NON_PORTABLE"),
+    ("..\\\\assets\\\\a.png", "BLOCKER", "ASSET_PATH_INVALID"), ("../assets/%zz.png", "BLOCKER", "ASSET_PATH_INVALID"), ("a.png", "BLOCKER", "ASSET_PATH_INVALID"), ("../assets/../b.png", "BLOCKER", "ASSET_PATH_ESCAPE"),
+    ("../assets/none.png", "BLOCKER", "ASSET_MISSING"), ("../assets/big.png", "BLOCKER", "ASSET_TOO_LARGE"), ("../assets/bad.png", "BLOCKER", "ASSET_SIGNATURE_INVALID"), ("../assets/bad.svg", "BLOCKER", "ASSET_SIGNATURE_INVALID"),
+    ("../assets/run.svg", "BLOCKER", "SVG_ACTIVE_CONTENT"), ("../assets/far.svg", "BLOCKER", "SVG_ACTIVE_CONTENT"), ("../assets/a.jpg", "WARNING", "ASSET_TYPE_UNSUPPORTED"), ("../assets/good%20one.png?x", None, None), ("../assets/fine.svg", None, None),
+]
+ASSETS = [
+    ("big.png", 6 << 20, "", None), ("bad.png", 10, "00", None), ("bad.svg", 10, "00", "<p><svg>"), ("run.svg", 10, "00", "<?xml version='1'?>\n<svg onload = 'x'>"), ("far.svg", 10, "00", "<svg><a href='h&#116;tp://x'/></svg>"), ("a.jpg", 10, "00", None),
+    ("good one.png", 10, assets.PNG, None), ("fine.svg", 10, "00", "<svg><a href='#b'/></svg>"), ("b.png", 10, assets.PNG, None),
+]
 
+
+def asset_checks(spark, d):
+    """Every turn of the conversations with an image by its number; stated rules."""
+    c = corpus.table(spark, d, "conversations")
+    image = F.element_at(F.array(*(F.lit(x[0]) for x in IMAGES)), ((F.col("conv_id") * 7 + F.col("turn")) % len(IMAGES) + 1).cast("int"))
+    docs = c.select(F.concat_ws("/", F.lit("conv"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n![i]("), image, F.lit(")")).alias("body"))
+    return assets.findings(docs, spark.createDataFrame(ASSETS, "asset string, size long, head string, text string"))
+
+
+QUERIES = {f.__name__: f for f in (task_buckets, task_gaps, task_impact, semantic_sync, move_changes, move_applied, page_warnings, migration_regressions, asset_checks)}
+
+_QUOTED = lambda x: "NULL" if x is None else "'" + x + "'"
 _WORD = "(?i)(^|[^a-z0-9_])(stale|obsolete|outdated|legacy_unverified)($|[^a-z0-9_])"
 _HITS = f"""{_NOTED}, h0 AS (SELECT qid, path, rank, type, tags, n, CASE WHEN n % 4 < 3 THEN n % 4 END AS req, body || CASE n % 4 WHEN 0 THEN ' ' || (n % 3) || ',5 days' WHEN 1 THEN ' 7 days' ELSE '' END || CASE WHEN n % 11 = 0 THEN ' obsolete' ELSE '' END AS body,
   rank <= 8 AS shown, n % 6 = 0 AS stale, CASE WHEN n % 12 = 0 THEN 'anchor_unresolvable' WHEN n % 6 = 0 THEN 'drift_suspected' END AS reason FROM (SELECT *, substr(path, 5, 9)::BIGINT AS n FROM noted)),
@@ -169,3 +191,4 @@ a AS (SELECT 'pages' AS what, '' AS key, count(*) AS n FROM roles UNION ALL SELE
 b AS (SELECT 'pages' AS what, '' AS key, count(*) AS n FROM r2 UNION ALL SELECT 'sources', '', count(DISTINCT type) FROM r2 UNION ALL SELECT 'edges', kind, count(*) FROM e2 GROUP BY kind)
 SELECT what, key FROM a FULL JOIN b USING (what, key) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0) UNION ALL SELECT 'probe', path FROM roles WHERE substr(path, 5, 9)::BIGINT % 2 = 0 AND path NOT IN (SELECT path FROM r2 WHERE substr(path, 5, 9)::BIGINT % 3 > 0)""",
 }
+ORACLES["asset_checks"] = f"WITH v AS (SELECT * FROM (VALUES {', '.join(f'({k}, {_QUOTED(t)}, {_QUOTED(a)}, {_QUOTED(b)})' for k, (t, a, b) in enumerate(IMAGES))}) x(k, target, severity, code)) SELECT 'conv/' || conv_id || '/' || turn AS path, severity, code, target FROM conversations JOIN v ON k = (conv_id * 7 + turn) % {len(IMAGES)} WHERE code IS NOT NULL"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import moves, semantic, task
+from evidentia.operators import assets, moves, semantic, task
 from evidentia.operators.kept import root
 from evidentia.plans.task_plans import hashed
 
@@ -79,3 +79,13 @@ def test_gaps_of_an_empty_task(spark):
     h = task.with_drift(task.with_contradictions(h), spark.createDataFrame([], "path string, claim_id string, reason string"))
     assert {(r.qid, r.kind, r.description) for r in task.gaps(q, h).collect()} == {(1, "missing_evidence", "No requirements was recovered for intent document."), (1, "missing_evidence", "No source provenance was recovered for the document task.")}
     assert task.impact(q, h, spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_assets_are_read(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.png").write_bytes(bytes.fromhex(assets.PNG) + b"x")
+    (tmp_path / "plain").write_text("\ufeff<svg><script/></svg>")
+    got = assets.read(spark, str(tmp_path))
+    assert {(r.asset, r["size"], r.text is None) for r in got.collect()} == {("sub/a.png", 9, True), ("plain", 23, False)}
+    docs = spark.createDataFrame([("d", "![a](../assets/sub/a.png) <img alt=x src='../assets/plain'> ![b](../assets/sub/a.png)"), ("e", None)], "path string, body string")
+    assert {(r.code, r.target) for r in assets.findings(docs, got).collect()} == {("ASSET_TYPE_UNSUPPORTED", "../assets/plain"), ("SVG_ACTIVE_CONTENT", "../assets/plain")}
