@@ -7,11 +7,12 @@ matched on the second inside their task; rows of a first piece that very many cl
 pieces, so each table's bucket is still matched whole. Matches whose signatures agree too little are dropped (at a
 distance of over four standard errors from the threshold); the others join classes into clusters. Links
 are confirmed on the full shingle sets of each cluster, all pairs of it: intersections
-come from an inverted index, and pairs already connected are skipped. A large cluster is cut into blocks. Its first
-block is held against every block; members that are then in the cluster's largest component need no
-comparison among each other, and only the rest is held against all blocks, in blocks of its own. So no task holds
-an unbounded cluster, and its copies grow with the rest, not with the square of the cluster. Components follow from the
-confirmed links; no list of pairs is ever made.
+come from an inverted index, and pairs already connected are skipped. A large cluster is cut into blocks, each a file
+in the shared folder that holds its rows' sets once. The first block is held against every block; members that are
+then in the cluster's largest component need no comparison among each other, and only the rest is held against all
+blocks. The tasks read the blocks that they compare one after the other, so no task holds an unbounded cluster and
+nothing is copied: disk grows with the cluster, only reads and comparisons grow with its blocks times its rest.
+Components follow from the confirmed links; no list of pairs is ever made.
 
 A link at the threshold is a candidate with probability 1 - 3e-5 for 85 % (2.5e-5 are missed by the agreement of
 signatures, 24 of 40 places, 5e-6 by the tables) and 1 - 1e-4 for 80 %; a missed one is still confirmed if
@@ -26,17 +27,20 @@ through.
 from __future__ import annotations
 
 import hashlib
+import io
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, file_system, publish, table
 from .encoding import slices
 from .graphs import components
 
 _K = np.uint64(0x9E3779B97F4A7C15)
+#: Blocks of a cluster that one task holds against the others.
+UNIT = 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -191,9 +195,8 @@ def signature_edges(ids: np.ndarray, sig: np.ndarray, second: int, pieces: int,
     return found
 
 
-def set_edges(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Spanning edges of all pairs with 100 * intersection >= percent * union. With `left`, only pairs of a row
-    marked in it and one not marked are asked for (two blocks)."""
+def set_edges(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Spanning edges of all pairs with 100 * intersection >= percent * union."""
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
     flat = np.concatenate(sets)
@@ -215,16 +218,134 @@ def set_edges(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None,
         near = members[np.repeat(a - (e - k), k) + np.arange(int(e[-1]))] if len(mine) else np.zeros(0, np.int64)
         both = np.bincount(near, minlength=n)
         ok = (100 * both >= percent * (sizes + sizes[i] - both)) & (both > 0)
-        if left is not None:
-            ok &= left != left[i]
         ok[i] = False
         return np.flatnonzero(ok)
 
-    if n == 2 and left is None:
+    if n == 2:
         return [(int(ids[0]), int(ids[1]))] if len(links(0)) else []
     return [(int(ids[a]), int(ids[b])) for a, b in spanning(n, links, int((weight / np.maximum(sizes, 1)).argmax()), skip)]
 
 
+class Block:
+    """Rows with their shingle sets as codes of a sorted dictionary; label: the component that a row is in so far."""
+
+    def __init__(self, ids: np.ndarray, label: np.ndarray, sizes: np.ndarray, names: np.ndarray, codes: np.ndarray):
+        self.ids, self.label, self.sizes, self.names, self.codes = ids, label, sizes, names, codes
+
+    @classmethod
+    def built(cls, ids: np.ndarray, label: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> Block:
+        names, codes = np.unique(flat, return_inverse=True)
+        return cls(ids, label, sizes, names, codes.ravel())
+
+    def publish(self, folder: str, name: str) -> None:
+        _put(folder, name, ids=self.ids, label=self.label, sizes=self.sizes, names=self.names, codes=self.codes.astype(np.uint16 if len(self.names) <= 1 << 16 else np.uint32))
+
+    @classmethod
+    def read(cls, folder: str, name: str) -> Block | None:
+        found = _got(folder, name)
+        return found and cls(found["ids"], found["label"], found["sizes"], found["names"], found["codes"])
+
+    def flat(self, rows: np.ndarray) -> np.ndarray:
+        return self.names[self.codes[np.repeat(rows, self.sizes)]]
+
+    def only(self, rows: np.ndarray) -> Block:
+        return Block(self.ids[rows], self.label[rows], self.sizes[rows], self.names, self.codes[np.repeat(rows, self.sizes)])
+
+
+def _put(folder: str, name: str, **arrays) -> None:
+    """Write arrays as a file of the shared folder. A repeated task finds its file there: it holds the same rows."""
+    fs, base = file_system(folder)
+    if not fs.get_file_info(f"{base}/{name}").is_file:
+        out = io.BytesIO()
+        np.savez(out, **arrays)
+        publish(folder, name, out.getvalue())
+
+
+def _got(folder: str, name: str) -> dict | None:
+    fs, base = file_system(folder)
+    try:
+        with fs.open_input_stream(f"{base}/{name}") as f:
+            return dict(np.load(io.BytesIO(f.read())))
+    except FileNotFoundError:
+        return None  # no row of the cluster fell into this block
+
+
+def cross_edges(a: Block, b: Block, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of two blocks; with the blocks' labels they connect the rows as all links do. Rows that a link
+    connects take the label of b's row, in both blocks."""
+    if not len(a.ids) or not len(b.ids):
+        return []
+    at = np.minimum(np.searchsorted(a.names, b.names), len(a.names) - 1)
+    same = a.names[at] == b.names
+    known = same[b.codes]
+    a_owner, b_owner = (np.repeat(np.arange(len(x.ids)), x.sizes) for x in (a, b))
+    a_codes, b_codes = a.codes.astype(np.int64), at[b.codes[known]]
+    b_owner = b_owner[known]
+    # a row can't be in any link if too few of its shingles occur in the other block
+    in_a = np.bincount(a_codes, minlength=len(a.names)) > 0
+    ask_b = 100 * np.bincount(b_owner[in_a[b_codes]], minlength=len(b.ids)) >= percent * b.sizes
+    in_b = np.bincount(b_codes[ask_b[b_owner]], minlength=len(a.names)) > 0
+    ask_a = 100 * np.bincount(a_owner[in_b[a_codes]], minlength=len(a.ids)) >= percent * a.sizes
+    if not ask_a.any() or not ask_b.any():
+        return []
+    sides, out = ((a, a_owner, a_codes), (b, b_owner, b_codes)), []
+
+    def ask(x: int, rows: np.ndarray, others: np.ndarray) -> None:
+        """Rows of one side against those of the other side that are marked in `others`."""
+        (left, owner, codes), (right, members, index) = sides[x], sides[1 - x]
+        rows = np.flatnonzero(rows)
+        if not len(rows) or not others.any():
+            return
+        picked = others[members]
+        order = np.argsort(index[picked], kind="stable")
+        members = members[picked][order]
+        first = np.concatenate([[0], np.cumsum(np.bincount(index[picked], minlength=len(a.names)))])
+        for i, start, end in zip(rows, np.searchsorted(owner, rows), np.searchsorted(owner, rows, side="right")):
+            if not (right.label[others] != left.label[i]).any():
+                continue
+            mine = codes[start:end]
+            k = first[mine + 1] - first[mine]
+            mine, k = mine[k > 0], k[k > 0]
+            if not len(mine):
+                continue
+            e = np.cumsum(k)
+            both = np.bincount(members[np.repeat(first[mine] - (e - k), k) + np.arange(int(e[-1]))], minlength=len(right.ids))
+            ok = (100 * both >= percent * (right.sizes + left.sizes[i] - both)) & (both > 0)
+            for j in np.flatnonzero(ok):
+                if left.label[i] != right.label[j]:
+                    out.append((int(left.ids[i]), int(right.ids[j])))
+                    old, new = (left.label[i], right.label[j])[:: -1 if x else 1]
+                    for block in (a, b):
+                        block.label[block.label == old] = new
+
+    main_a, main_b = (x.label == _most(x.label) for x in (a, b))
+    ask(0, ask_a & main_a, ask_b & main_b)
+    ask(0, ask_a & ~main_a, ask_b)
+    ask(1, ask_b & ~main_b, ask_a & main_a)
+    return out
+
+
+def _most(label: np.ndarray):
+    values, counts = np.unique(label, return_counts=True)
+    return values[counts.argmax()]
+
+
+def _labels(ids: np.ndarray, edges: list[tuple[int, int]]) -> np.ndarray:
+    """The smallest id that each id is connected with."""
+    parent = {int(i): int(i) for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for x, y in edges:
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    return np.array([root(int(i)) for i in ids], np.int64)
+
+
 def _runs(batches, keys: int):
     """Runs of rows with equal first `keys` columns from sorted batches: (key, columns as lists of arrays)."""
     import pyarrow as pa
@@ -344,59 +465,103 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = ws.saved(members.join(total, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "minhash-placed")
     reps = source.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep")
 
+    folder = f"{ws.base}/blocks"
+
     def shingles(batches):
         import pyarrow as pa
 
-        for whole in batches:
+        for whole in _narrow(batches):
             for batch in slices(whole, "text"):
-                flat, sizes = shingle_sets([t or "" for t in batch.column(3).to_pylist()], shingle)
+                flat, sizes = shingle_sets([t or "" for t in batch.column(4).to_pylist()], shingle)
                 ends = np.cumsum(sizes)
                 sets = [flat[e - n : e].tobytes() for n, e in zip(sizes, ends)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], names=["rep", "cluster", "at", "set"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["cluster", "block", "blocks", "rep", "set"])
 
     def confirm(batches):
+        """All pairs inside each block; blocks of larger clusters are kept as files with their components so far."""
         found = []
-        for run in _runs(_narrow(batches), 2):
-            if run.num_rows < 2:
-                continue
-            left = run.column(3).to_numpy(zero_copy_only=False)
-            if not left.any():
-                continue
-            found += set_edges(run.column(2).to_numpy(), [np.frombuffer(s, np.uint64) for s in run.column(4).to_pylist()], None if left.all() else left, percent)
+        for run in _runs(_narrow(shingles(batches)), 2):
+            sets = [np.frombuffer(s, np.uint64) for s in run.column(4).to_pylist()]
+            # a row that repeats an id may have no shingles
+            some = np.array([len(s) > 0 for s in sets])
+            ids, sets = run.column(3).to_numpy()[some], [s for s in sets if len(s)]
+            edges = set_edges(ids, sets, percent) if len(ids) > 1 else []
+            if run.column(2)[0].as_py() > 1 and len(ids):
+                cluster, block = (run.column(i)[0].as_py() for i in range(2))
+                Block.built(ids, _labels(ids, edges), np.fromiter(map(len, sets), np.int64, len(sets)), np.concatenate(sets)).publish(f"{folder}/{cluster}", f"{block}.sets")
+            found += edges
             if len(found) > 50_000:
                 yield _edge_batch(found)
                 found = []
         yield _edge_batch(found)
 
-    def confirmed(dealt):
-        """Links inside the groups that `dealt` (rep, cluster, at: array of (group, left)) puts its rows into; rows of one group that are
-        all left are compared with each other, else only left ones with others."""
-        # always by a shuffle: the members grow with the corpus, so a broadcast at small sizes would only hide that
-        full = dealt.hint("merge").join(reps, "rep").select("rep", "cluster", "at", "text")
-        full = full.mapInArrow(shingles, "rep long, cluster long, at array<struct<g: int, l: boolean>>, set binary")
-        grouped = full.select("cluster", "rep", "set", F.explode("at").alias("g")).select("cluster", "g.g", "rep", "g.l", "set")
-        return grouped.repartition(n_parts, "cluster", "g").sortWithinPartitions("cluster", "g").mapInArrow(confirm, "a long, b long")
-
-    def entry(group, left):
-        return F.struct(group.cast("int").alias("g"), left.alias("l"))
-
-    # the first block is a member of every block's group
-    own = F.when(F.col("block") > 0, F.array(entry(F.col("block"), F.lit(True)))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: entry(k, F.lit(True))))
-    links = ws.saved(confirmed(placed.select("rep", "cluster", own.alias("at"))), "minhash-links")
+    def confirm_first(batches):
+        """The blocks of each unit against the cluster's first block."""
+        for batch in batches:
+            for cluster, unit, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+                first = Block.read(f"{folder}/{cluster}", "0.sets")
+                for k in range(max(1, unit * UNIT), min(blocks, (unit + 1) * UNIT)) if first else ():
+                    block = Block.read(f"{folder}/{cluster}", f"{k}.sets")
+                    if block:
+                        yield _edge_batch(cross_edges(block, first, percent))
+
+    def label(batches):
+        """A file for each block: its ids, their components and which are outside of the cluster's largest one."""
+        import pyarrow as pa
+
+        for run in _runs(_narrow(batches), 3):
+            cluster, block, blocks = (run.column(i)[0].as_py() for i in range(3))
+            ids, component, rest = (run.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
+            order = np.argsort(ids, kind="stable")
+            _put(f"{folder}/{cluster}", f"{block}.labels", ids=ids[order], label=component[order], rest=rest[order])
+            yield pa.RecordBatch.from_arrays([pa.array([cluster], pa.int64()), pa.array([block], pa.int32()), pa.array([blocks], pa.int32()), pa.array([int(rest.sum())], pa.int64())], names=["cluster", "block", "blocks", "rests"])
+
+    def labelled(cluster, k):
+        block = Block.read(f"{folder}/{cluster}", f"{k}.sets")
+        if not block:
+            return None, None
+        known = _got(f"{folder}/{cluster}", f"{k}.labels")
+        at = np.searchsorted(known["ids"], block.ids)
+        block.label = known["label"][at]
+        return block, known["rest"][at]
+
+    def confirm_rest(batches):
+        """The rest rows of each unit against all blocks but the first, which every block was held against; two units'
+        rest rows meet once, in the first one's task."""
+        for batch in batches:
+            for cluster, unit, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = range(max(1, unit * UNIT), min(blocks, (unit + 1) * UNIT))
+                own = [(b, rest) for b, rest in (labelled(cluster, k) for k in mine) if b and rest.any()]
+                if not own:
+                    continue
+                flat = np.concatenate([b.flat(rest) for b, rest in own])
+                held = Block.built(*(np.concatenate([getattr(b, c)[rest] for b, rest in own]) for c in ("ids", "label", "sizes")), flat)
+                for k in range(1, blocks):
+                    block, rest = labelled(cluster, k)
+                    if block:
+                        yield _edge_batch(cross_edges(held, block.only(~rest) if k < mine[0] else block, percent))
+
+    # always by a shuffle: the members grow with the corpus, so a broadcast at small sizes would only hide that
+    full = placed.hint("merge").join(reps, "rep").select("cluster", "block", "blocks", "rep", "text")
+    links = ws.saved(full.repartition(n_parts, "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(confirm, "a long, b long"), "minhash-links")
+    unit = F.floor(F.col("block") / UNIT).cast("int").alias("unit")
+
+    def by_unit(rows, work):
+        return rows.select("cluster", unit, "blocks").distinct().repartition(n_parts, "cluster", "unit").mapInArrow(work, "a long, b long")
+
+    several = placed.filter("blocks > 1")
+    if not several.isEmpty():
+        links = links.unionByName(ws.saved(by_unit(several, confirm_first), "minhash-first-links"))
     several = placed.filter("blocks > 2")
     if not several.isEmpty():
         so_far = components(links).withColumnRenamed("node", "rep")
         parts = ws.saved(several.join(so_far, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "minhash-parts")
         size = parts.groupBy("cluster", "component").agg(F.sum("size").alias("n"))
-        main = size.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("m"), F.ceil((F.sum("n") - F.max("n")) / block_shingles).cast("int").alias("rests")).filter("rests > 0")
-        parts = parts.join(main, "cluster").withColumn("in_rest", F.col("component") != F.col("m.component"))
-        # group = rest block * blocks + block: the rest block's rows are left, the block's others are not; a rest row meets another rest row as one of them in the smaller one's group
-        mine = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rests"))
-        asks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: entry(mine * F.col("blocks") + k, F.lit(True)))
-        meets = F.transform(F.filter(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: ~F.col("in_rest") | (r != mine)), lambda r: entry(r * F.col("blocks") + F.col("block"), F.lit(False)))
-        among = F.array(entry(-1 - mine, F.lit(True)))
-        at = F.when(F.col("in_rest"), F.concat(asks, meets, among)).otherwise(meets)
-        links = links.unionByName(ws.saved(confirmed(parts.select("rep", "cluster", at.alias("at")).filter(F.size("at") > 0)), "minhash-rest-links"))
+        main = size.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("components")).filter("components > 1")
+        rows = parts.join(main, "cluster").select("cluster", "block", "blocks", "rep", "component", (F.col("component") != F.col("m.component")).alias("rest"))
+        rows = rows.repartition(n_parts, "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(label, "cluster long, block int, blocks int, rests long")
+        rests = ws.saved(rows, "minhash-labels").filter("block > 0 AND rests > 0")
+        links = links.unionByName(ws.saved(by_unit(rests, confirm_rest), "minhash-rest-links"))
     found = components(links).select(F.col("node").alias("rep"), "component")
     named = classes.select("set_key", "rep").join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     result = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -401,3 +401,50 @@ def test_surrogates_of_a_full_shape_stay_distinct(spark):
     texts = [f"Mr {v}b" for v in "AEIOU"] + ["Dr. Wu"]
     got = [r.text for r in pii.pseudonymized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").orderBy("doc_id").collect()]
     assert len(set(got)) == len(texts) and got[5] != "Dr. Wu"
+
+
+def test_links_between_blocks_connect_as_all_links_do():
+    draw = random.Random(21)
+    for case in range(300):
+        percent = draw.choice([50, 70, 85])
+        base = draw.sample(range(1000), 40)
+        rows = [sorted(set(base[: draw.randrange(1, 41)] if draw.random() < 0.3 else [w if draw.random() < draw.choice([0.8, 0.9, 0.99]) else draw.randrange(1000) for w in base])) for _ in range(draw.randrange(2, 40))]
+        n = len(rows)
+        side = [draw.randrange(2) for _ in rows]
+        linked = lambda i, j: 100 * len({*rows[i]} & {*rows[j]}) >= percent * len({*rows[i]} | {*rows[j]})
+        inside = [(i, j) for i in range(n) for j in range(i) if side[i] == side[j] and linked(i, j)]
+        across = [(i, j) for i in range(n) for j in range(i) if side[i] != side[j] and linked(i, j)]
+        blocks = []
+        for s in range(2):
+            ids = np.array([i for i in range(n) if side[i] == s], np.int64)
+            label = neardup._labels(ids, [e for e in inside if side[e[0]] == s])
+            sets = [np.array(rows[i], np.uint64) for i in ids]
+            blocks.append(neardup.Block.built(ids, label, np.array([len(x) for x in sets], np.int64), np.concatenate([*sets, np.zeros(0, np.uint64)])))
+        got = neardup.cross_edges(*blocks, percent)
+        assert {(max(e), min(e)) for e in got} <= set(across)
+        assert _parts(n, inside + got) == _parts(n, inside + across)
+        assert len(got) == len(_parts(n, inside)) - len(_parts(n, inside + across))
+
+
+def test_a_cluster_is_not_copied_for_its_rest(spark):
+    """Edited copies of a text, most of them linked with none: with four times the rows, what is shuffled grows by about as much, not by the square."""
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = {}
+    for i in range(800):
+        w = list(base)
+        for k in rng.sample(range(100), rng.randrange(12)):
+            w[k] = f"n{rng.randrange(10**9)}"
+        texts[i] = " ".join(w)
+    written = []
+    for n in (200, 800):
+        some = {i: texts[i] for i in range(n)}
+        want, _ = _components(some, 3, 85)
+        assert n / 4 < len(set(want.values())) < n
+        docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+        before = spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+        got = neardup.near_duplicates(docs, shingle=3, percent=85, block_shingles=300).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+        written.append(spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite() - before)
+    print("shuffled:", written)
+    assert written[1] < 8 * written[0]
