@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions import vocab
 from ..operators import lexical, metrics
 from ..sources import corpus
-from .stored import lexical_index, root
+from .stored import best_pages, lexical_index, root
 
 TOK = corpus.tokens_sql
 
@@ -23,7 +23,7 @@ def term_frequency(spark, d):
 
 
 def doc_frequency(spark, d):
-    return lexical_index(spark, d).postings().groupBy("term").agg(F.count("*").alias("df"))
+    return lexical_index(spark, d).rows("path", "terms").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(spark, d):
@@ -58,28 +58,27 @@ def passage_ids(spark, d):
 
 
 def best_passage(spark, d):
-    p, q = corpus.pages(spark, d), corpus.queries(spark, d)
-    return lexical.best_passages(corpus.passages(p), lexical.bm25(lexical_index(spark, d), q), q)
+    q, hits = corpus.queries(spark, d), best_pages(spark, d)
+    # only the texts of pages that are hits are cut into passages
+    p = corpus.pages(spark, d).join(F.broadcast(hits.select("path").distinct()), "path", "left_semi")
+    return lexical.best_passages(corpus.passages(p), hits, q)
 
 
 def query_coverage(spark, d):
     p, q = corpus.pages(spark, d), corpus.queries(spark, d)
-    hits = lexical.bm25(lexical_index(spark, d), q).select("qid", "path")
-    near = hits.join(q, "qid").join(p.select("path", "body"), "path")
+    near = p.select("path", "body").join(F.broadcast(best_pages(spark, d).select("qid", "path").join(q, "qid")), "path")
     return near.select("qid", "path", F.round(F.size(F.array_intersect("terms", T.distinct_tokens(F.col("body")))) / F.size("terms"), 6).alias("coverage"))
 
 
 def judgements(spark, d):
     """A page is relevant to a query if at least half of the query's terms are in its body; grade 2 for all of them."""
-    terms = corpus.queries(spark, d).select("qid", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
-    found = lexical_index(spark, d).postings(terms.select("term").distinct()).filter("body_tf > 0").join(terms, "term").groupBy("qid", "path").agg(F.count("*").alias("hit"), F.first("asked").alias("asked"))
-    return found.filter("hit * 2 >= asked").select("qid", "path", F.when(F.col("hit") == F.col("asked"), 2).otherwise(1).alias("grade"))
+    found = lexical.shared(lexical_index(spark, d), corpus.queries(spark, d), 0.5)
+    return found.select("qid", "path", F.when(F.col("hit") == F.col("asked"), 2).otherwise(1).alias("grade"))
 
 
 def _metric(name, k=10):
     def run(spark, d):
-        q = corpus.queries(spark, d)
-        return metrics.evaluation(lexical.bm25(lexical_index(spark, d), q, k=k), judgements(spark, d), k).select("qid", name)
+        return metrics.evaluation(best_pages(spark, d, k=k), judgements(spark, d), k).select("qid", name)
 
     return run
 

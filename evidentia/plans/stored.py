@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators.kept import root
-from ..operators.lexical import LexicalIndex
+from ..operators.kept import kept, root
+from ..operators.lexical import LexicalIndex, bm25
 from ..sources import corpus
 
 _BUILT: dict[tuple, LexicalIndex] = {}
@@ -21,3 +21,8 @@ def lexical_index(spark, d: str) -> LexicalIndex:
     if key not in _BUILT:
         _BUILT[key] = LexicalIndex.create(corpus.pages(spark, d), f"{root(spark)}/lexical")
     return _BUILT[key]
+
+
+def best_pages(spark, d: str, queries=None, **how):
+    """The hits of the benchmark's (or other) queries, for plans that go on with them: written, so that they are found once."""
+    return kept(bm25(lexical_index(spark, d), corpus.queries(spark, d) if queries is None else queries, **how))
