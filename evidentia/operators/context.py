@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from . import fusion
+from .kept import kept
 
 # Categories of an intent, most wanted first.
 PRIORITIES = {
@@ -102,7 +103,7 @@ def widened(queries: DataFrame, attempt, enough, budgets: list[dict]) -> DataFra
     for level, budget in enumerate(budgets):
         hits = attempt(open_, budget).withColumn("level", F.lit(level))
         last = level == len(budgets) - 1
-        done = enough(hits).select("qid").distinct()
+        done = kept(enough(hits).select("qid").distinct())
         settled = hits if last else hits.join(done, "qid", "left_semi")
         out = settled if out is None else out.unionByName(settled)
         open_ = open_.join(done, "qid", "left_anti")

@@ -59,7 +59,7 @@ def facet_coverage(queries: DataFrame, hits: DataFrame, texts: DataFrame) -> Dat
     """qid, facets, covered, coverage: query terms (no stop words, two letters or more) found, by word or stem, in the hits' texts."""
     facets = queries.select("qid", F.explode("terms").alias("term")).filter((F.length("term") >= 2) & ~F.col("term").isin(vocab.STOP_WORDS))
     facets = facets.withColumn("key", F.explode(F.array_distinct(F.array("term", T.stem(F.col("term"))))))
-    words = hits.select("qid", "path").join(texts, "path").select("qid", F.explode(T.distinct_tokens(F.col("body"))).alias("w")).distinct()
+    words = texts.join(F.broadcast(hits.select("qid", "path")), "path").select("qid", F.explode(T.distinct_tokens(F.col("body"))).alias("w")).distinct()
     words = words.select("qid", F.explode(F.array("w", T.stem(F.col("w")))).alias("key")).distinct()
     per = facets.join(words.withColumn("hit", F.lit(1)), ["qid", "key"], "left").groupBy("qid", "term").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
     out = per.groupBy("qid").agg(F.count("*").alias("facets"), F.sum("hit").alias("covered"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators import code, context, fusion, governance, graph, lexical
+from ..operators import code, context, fusion, governance, graph
 from ..operators.kept import kept
 from ..sources import code as code_files
 from ..sources import corpus
 from ..streaming import incremental
 from .graph_plans import _ROLES, role_pages
-from .stored import lexical_index
+from .stored import best_pages
 
 NOTES = ["must never fail", "limit of two", "the schema", "plain words", "an outage", "a conflicting rule", "one contradicts another", "uncontradictsed"]
 
@@ -47,7 +47,7 @@ def graph_dependencies(spark, d):
 def progressive_widening(spark, d):
     """Queries whose best three hits don't cover their facets get ten."""
     p, q = corpus.pages(spark, d), corpus.queries(spark, d)
-    attempt = lambda open_, b: lexical.bm25(lexical_index(spark, d), open_, k=b["evidence"])
+    attempt = lambda open_, b: best_pages(spark, d, open_, k=b["evidence"])
     enough = lambda hits: fusion.facet_coverage(hits.select("qid").distinct().join(q, "qid"), hits, p.select("path", "body")).filter("coverage >= 0.8")
     budgets = [{"evidence": 3}, {"evidence": 10}]
     return context.widened(q, attempt, enough, budgets).select("qid", "path", "rank", "level")
