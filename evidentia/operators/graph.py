@@ -201,21 +201,26 @@ def _walk(adj: dict, kind: dict, degree: dict, seeds: dict, max_nodes: int, dept
     return sorted(((n, rank.get(n, 0)) for n in visited), key=lambda x: (-x[1], x[0]))[:max_nodes]
 
 
-def expand_exact(edges: DataFrame, kinds: DataFrame, seeds: DataFrame, *, max_nodes: int = 12, depth: int = 1, beam: int | None = None, max_visited: int | None = None) -> DataFrame:
+def walkable(edges: DataFrame, kinds: DataFrame) -> DataFrame:
+    """node, neighbor, kind, weight, node_kind, other_kind, degree of nodes that are no hubs, kept: what `expand_exact` walks on. The
+    walks of a graph share it."""
+    adj = adjacency(edges).join(kinds.withColumnRenamed("kind", "node_kind"), "node").filter(~F.col("node_kind").isin(vocab.HUB_KINDS))
+    return kept(adj.join(kinds.select(F.col("node").alias("neighbor"), F.col("kind").alias("other_kind")), "neighbor").join(degrees(edges).select(F.col("node").alias("neighbor"), "degree"), "neighbor"))
+
+
+def expand_exact(edges: DataFrame, kinds: DataFrame, seeds: DataFrame, *, adj: DataFrame | None = None, max_nodes: int = 12, depth: int = 1, beam: int | None = None, max_visited: int | None = None) -> DataFrame:
     """As `expand`, for graphs with request nodes: the neighbourhood of each query is gathered set-wise, hubs'
-    own edges left out, then walked node after node, one query per group."""
+    own edges left out, then walked node after node, one query per group. `adj`: `walkable` of the graph, if it is there."""
     beam = beam or max(max_nodes, 8)
     max_visited = max(max_nodes, max_visited or max(4 * max_nodes, 32))
-    adj = adjacency(edges).join(kinds.withColumnRenamed("kind", "node_kind"), "node").filter(~F.col("node_kind").isin(vocab.HUB_KINDS))
-    adj = adj.join(kinds.select(F.col("node").alias("neighbor"), F.col("kind").alias("other_kind")), "neighbor").join(degrees(edges).select(F.col("node").alias("neighbor"), "degree"), "neighbor")
     # hop by hop from what the last hop has found; each hop is kept, so that the next ones don't repeat it
-    adj = kept(adj)
+    adj = walkable(edges, kinds) if adj is None else adj
     reach = last = seeds.select("qid", "node").distinct()
     for _ in range(2 * depth):
         last = kept(last.join(adj, "node").select("qid", F.col("neighbor").alias("node")).distinct().join(reach, ["qid", "node"], "left_anti"))
         reach = reach.unionByName(last)
     local = reach.join(adj, "node").select("qid", "node", "node_kind", "neighbor", "other_kind", "degree", "kind", "weight", F.lit(None).cast("double").alias("score"))
-    start = seeds.join(kinds, "node", "left").select("qid", "node", F.col("kind").alias("node_kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("neighbor", "string"), ("other_kind", "string"), ("degree", "long"), ("kind", "string"), ("weight", "double"))), F.col("score").cast("double").alias("score"))
+    start = kinds.join(F.broadcast(seeds), "node", "right").select("qid", "node", F.col("kind").alias("node_kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("neighbor", "string"), ("other_kind", "string"), ("degree", "long"), ("kind", "string"), ("weight", "double"))), F.col("score").cast("double").alias("score"))
 
     def walk(key, part: pd.DataFrame) -> pd.DataFrame:
         first = part[part["score"].notna()]

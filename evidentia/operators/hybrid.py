@@ -70,12 +70,12 @@ def seeds(lex: DataFrame, sem: DataFrame, most: int) -> DataFrame:
     return head.select("qid", "path", (F.col("score") / F.greatest(F.max("score").over(W.partitionBy("qid")), F.lit(1e-9))).alias("score"))
 
 
-def attempt(index, pages: DataFrame, edges: DataFrame, kinds: DataFrame, asked: DataFrame, sem: DataFrame, budget: Budget, level: int, *, k: int, profile: str, page_types: list[str] | None, extra: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def attempt(index, pages: DataFrame, edges: DataFrame, kinds: DataFrame, asked: DataFrame, sem: DataFrame, budget: Budget, level: int, *, adj: DataFrame | None = None, k: int, profile: str, page_types: list[str] | None, extra: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(all fused hits, those within the budget): qid, path, score, rank, and the lists' ranks r_lex, r_sem, r_graph."""
     times = (1, 2, 4)[min(level, 2)]
     lex = kept(lexical_pool(index, asked, level, max(k, max(4 * k, 20)) * times, profile, page_types, extra))
     start = kept(seeds(lex, sem, budget.seeds).select("qid", F.concat(F.lit("page:"), "path").alias("node"), "score"))
-    walked = graph.expand_exact(edges, kinds, start, max_nodes=max(1, min(budget.nodes, max(3 * k, 24) * times)), depth=budget.depth, beam=max(1, min(budget.nodes, max(2 * k, 16) * times)), max_visited=budget.nodes)
+    walked = graph.expand_exact(edges, kinds, start, adj=adj, max_nodes=max(1, min(budget.nodes, max(3 * k, 24) * times)), depth=budget.depth, beam=max(1, min(budget.nodes, max(2 * k, 16) * times)), max_visited=budget.nodes)
     met = walked.join(start.select("qid", "node"), ["qid", "node"], "left_anti").filter("node LIKE 'page:%'").select("qid", F.substring("node", 6, 1 << 30).alias("path"), "place")
     if page_types is not None:
         met = met.join(pages.filter(F.col("type").isin(page_types)).select("path"), "path", "left_semi")
@@ -88,7 +88,9 @@ def attempt(index, pages: DataFrame, edges: DataFrame, kinds: DataFrame, asked:
     exact = asked.filter(coverage.exact_signal(F.col("text"))).join(sem.select("qid").distinct(), "qid", "left_semi").select("qid", F.lit(True).alias("exact"))
     all_ = all_.join(exact, "qid", "left").withColumn("score", F.round(score, 9))
     fused = _ranked(all_, F.desc(F.coalesce(F.col("exact") & (F.col("r_lex") == 1), F.lit(False)))).select("qid", "path", "score", "rank", "r_lex", "r_sem", "r_graph")
-    full = fused.join(pages, "path")
+    # the texts of other pages aren't shuffled to meet the hits
+    fused = kept(fused)
+    full = pages.join(F.broadcast(fused.select("path").distinct()), "path", "left_semi").join(F.broadcast(fused), "path")
     bytes_ = F.octet_length(F.concat_ws(" ", "title", "type", "heading", "excerpt", F.array_join("sources", " ")))
     sized = full.filter(F.col("rank") <= min(k, budget.evidence)).withColumn("bytes", bytes_ + 1)
     order = W.partitionBy("qid").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
@@ -110,10 +112,11 @@ def retrieve(index, pages: DataFrame, edges: DataFrame, kinds: DataFrame, querie
     asked = kept(coverage.requirements(queries))
     sem = kept(semantic) if semantic is not None else asked.select("qid", F.lit("").alias("path"), F.lit(0).alias("rank")).limit(0)
     open_, hits, reports, last = asked, None, None, None
+    adj = graph.walkable(edges, kinds)
     for level in range(levels + 1):
         extra = fallback(open_, last) if level == 3 else None
         here = sem.join(open_.select("qid"), "qid", "left_semi")
-        full, shown = attempt(index, pages, edges, kinds, open_, here, level_budget(first, most, level), level, k=k, profile=profile, page_types=page_types, extra=extra)
+        full, shown = attempt(index, pages, edges, kinds, open_, here, level_budget(first, most, level), level, adj=adj, k=k, profile=profile, page_types=page_types, extra=extra)
         full, shown = kept(full), kept(shown)
         last = kept(coverage.assess(open_, full, shown, meanings).withColumn("level", F.lit(level)))
         done = last.select("qid") if level == levels else last.filter("sufficient").select("qid") if profile != "coverage" else last.select("qid").limit(0)

@@ -11,10 +11,15 @@ from ..sources import corpus
 ROLE_TYPES = ["request", "requirement", "implementation", "test_result", "release"]
 
 
+def page_roles(n):
+    """Title, type and request of the document of an id: pages of requests of 20, their types dealt by id."""
+    return {"title": F.concat(F.lit("Document "), n.cast("string")), "type": F.element_at(F.array(*map(F.lit, ROLE_TYPES)), (n % 5 + 1).cast("int")), "request_id": F.concat(F.lit("R-"), F.floor(n / 20).cast("string"))}
+
+
 def role_pages(spark, d):
-    """Documents as pages of requests of 20, their types dealt by id."""
+    """Documents as pages with their roles."""
     t = corpus.table(spark, d, "documents")
-    return t.select(F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md")).alias("path"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.element_at(F.array(*map(F.lit, ROLE_TYPES)), (F.col("doc_id") % 5 + 1).cast("int")).alias("type"), F.concat(F.lit("R-"), F.floor(F.col("doc_id") / 20).cast("string")).alias("request_id"))
+    return t.select(F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md")).alias("path"), *(c.alias(name) for name, c in page_roles(F.col("doc_id")).items()))
 
 
 def linked_pages(spark, d):

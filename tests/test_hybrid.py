@@ -75,3 +75,12 @@ def test_store_refuses_what_breaks_a_rule(spark):
         store.write({"t": t}, {"even": t.filter("x % 2 = 0")})
     assert store.version() == 1 and store.write({"t": store.read("t").filter("x = 1")}, {"none": t.limit(0)}) == 2
     assert [r.x for r in store.read("t").collect()] == [1]
+
+
+def test_levels_share_the_graph(spark, monkeypatch):
+    p, edges, kinds, index = _wiki(spark)
+    made, own = [], graph.adjacency
+    monkeypatch.setattr(graph, "adjacency", lambda e: made.append(1) or own(e))
+    q = spark.createDataFrame([(1, "parcels and the Zeppelin on monday")], "qid long, text string")
+    hybrid.retrieve(index, p, edges, kinds, q, k=3)
+    assert len(made) == 1  # the query is open at every level
