@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from . import vector
+from .kept import kept
 
 BATCH = 64  # texts that a provider is given at once
 
@@ -35,8 +36,8 @@ def embedded(passages: DataFrame, embed: Callable[[Sequence[str]], Sequence[Sequ
                 vecs += [[float(x) for x in v] for v in got]
             yield part.assign(vec=pd.Series(vecs, index=part.index, dtype=object))
 
-    kept = passages.drop("vec")
-    return kept.mapInPandas(run, StructType([*kept.schema.fields, StructField("vec", ArrayType(DoubleType()))]))
+    plain = passages.drop("vec")
+    return plain.mapInPandas(run, StructType([*plain.schema.fields, StructField("vec", ArrayType(DoubleType()))]))
 
 
 def fingerprints(passages: DataFrame) -> DataFrame:
@@ -106,8 +107,9 @@ class SemanticIndex:
         self.spark.createDataFrame([(v, base, self.descriptor)], "version long, base long, descriptor string").coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
 
     def _changed(self, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
-        wanted = fingerprints(passages)
-        return wanted, wanted.join(self.pages().select("path", "fingerprint"), ["path", "fingerprint"], "left_anti")
+        # counted, written and joined with the texts: the fingerprints are made once
+        wanted = kept(fingerprints(passages))
+        return wanted, kept(wanted.join(self.pages().select("path", "fingerprint"), ["path", "fingerprint"], "left_anti"))
 
     def synchronize(self, passages: DataFrame) -> dict[str, int]:
         """Makes the index that of `passages` (all pages; path, pos, passage_id, heading, text): only changed pages are embedded, pages
@@ -152,7 +154,7 @@ class SemanticIndex:
             raise ValueError(f"query {bad['id']} must have 1 to 4,096 characters")
         asked = embedded(q, self.embed, self.dim).select("id", "vec")
         near = vector.keys(asked, self.normals, self.probes).withColumnRenamed("id", "qid").join(self._buckets(), ["table", "sig"]).select("qid", "id").distinct()
-        kept = self.passages()
-        both = near.join(kept.select("id", "vec"), "id").join(asked.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid")
+        held = self.passages()
+        both = near.join(held.select("id", "vec"), "id").join(asked.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid")
         best = vector.top(both.select("qid", "id", vector.cosine(F.col("vec"), F.col("qvec")).alias("score")), k, minimum)
-        return best.join(kept.select("id", "path", "passage_id", "text"), "id").select("qid", "path", "passage_id", "text", "score", "rank")
+        return best.join(held.select("id", "path", "passage_id", "text"), "id").select("qid", "path", "passage_id", "text", "score", "rank")
