@@ -113,11 +113,14 @@ def weighted(edges: DataFrame) -> DataFrame:
     return edges.withColumn("weight", F.element_at(F.create_map(*pairs), F.col("kind")))
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    e = weighted(edges)
+    return e.select(F.col("src").alias("node"), F.col("dst").alias("neighbor"), "kind", "weight").unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("neighbor"), "kind", "weight"))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """node, neighbor, kind, weight in both directions, the best weight of a pair and kind."""
-    e = weighted(edges)
-    both = e.select(F.col("src").alias("node"), F.col("dst").alias("neighbor"), "kind", "weight").unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("neighbor"), "kind", "weight"))
-    return both.groupBy("node", "neighbor", "kind").agg(F.max("weight").alias("weight"))
+    return _both_ways(edges).groupBy("node", "neighbor", "kind").agg(F.max("weight").alias("weight"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -135,12 +138,15 @@ def expand(edges: DataFrame, kinds: DataFrame, seeds: DataFrame, *, max_nodes: i
     """qid, node, rank (value), place: beam expansion of many seed sets (qid, node, score) at once.
 
     Set-wise form for graphs without request nodes (kinds: node, kind), where it gives what visiting one node
-    after the other gives. A hop is one join with the adjacency; its width is bounded by the beam.
+    after the other gives. A hop is one join with the adjacency; its width is bounded by the beam. What the last hop finds needn't be
+    remembered, so of a node's neighbours only its best are asked: as many as the beam takes and as a query has seen before. (A hop
+    before the last meets all neighbours, since all count as seen.)
     """
     beam = beam or max(max_nodes, 8)
     max_visited = max(max_nodes, max_visited or max(4 * max_nodes, 32))
-    near = adjacency(edges).groupBy("node", "neighbor").agg(F.max("weight").alias("weight"))
+    near = _both_ways(edges).groupBy("node", "neighbor").agg(F.max("weight").alias("weight"))
     near = near.join(degrees(edges).select(F.col("node").alias("neighbor"), (1 / F.log2(2 + F.col("degree"))).alias("hub")), "neighbor").select("node", "neighbor", (F.col("weight") * vocab.HOP_DECAY * F.col("hub")).alias("factor"))
+    near = kept(near) if depth > 1 else near
     frontier = seeds.groupBy("qid", "node").agg(F.max("score").alias("value"))
     seen, visited = frontier.select("qid", "node"), None
     for hop in range(depth + 1):
@@ -155,9 +161,14 @@ def expand(edges: DataFrame, kinds: DataFrame, seeds: DataFrame, *, max_nodes: i
         if hop == depth:
             break
         open_ = current.join(kinds.filter(~F.col("kind").isin(vocab.HUB_KINDS)).select("node"), "node", "left_semi")
-        reached = open_.join(near, "node").select("qid", F.col("neighbor").alias("node"), (F.col("value") * F.col("factor")).alias("value"))
+        if hop == depth - 1:
+            most = beam + (seen.groupBy("qid").count().agg(F.max("count")).first()[0] or 0)
+            near = near.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy(F.desc("factor"), "neighbor"))).filter(F.col("rn") <= most).drop("rn")
+        reached = open_.drop("rn").join(near, "node").select("qid", F.col("neighbor").alias("node"), (F.col("value") * F.col("factor")).alias("value"))
         frontier = reached.join(seen, ["qid", "node"], "left_anti").groupBy("qid", "node").agg(F.max("value").alias("value"))
-        seen = seen.unionByName(frontier.select("qid", "node"))
+        if hop < depth - 1:
+            frontier = kept(frontier)
+            seen = seen.unionByName(frontier.select("qid", "node"))
     place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("value"), "node"))
     return visited.withColumn("place", place).filter(F.col("place") <= max_nodes)
 
