@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.functions import vocab
-from evidentia.operators import counting, lexical, metrics
+from evidentia.operators import counting, graph, lexical, metrics, semantic
 from evidentia.operators.kept import root
 from evidentia.plans import registry
+from evidentia.sources import code
 
 
 def shuffled(spark, run) -> int:
@@ -54,7 +55,7 @@ def test_postings_and_scores_are_not_shuffled(spark, joins_shuffle):
 
 def test_texts_of_hits_are_not_shuffled(spark, sf, joins_shuffle):
     registry.QUERIES["bm25_balanced"](spark, sf)  # builds the index
-    for name, most in (("query_coverage", 40_000), ("best_passage", 250_000), ("token_budget_prefix", 40_000), ("merge_hits", 60_000), ("rrf_fusion", 150_000)):
+    for name, most in (("query_coverage", 40_000), ("best_passage", 250_000), ("token_budget_prefix", 40_000), ("merge_hits", 60_000), ("rrf_fusion", 400_000)):
         assert shuffled(spark, lambda: registry.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()) < most, name
 
 
@@ -125,3 +126,38 @@ def test_the_ideal_order_is_counted_not_sorted(spark):
     r = out.first()
     assert (r.ndcg, r.precision, r.recall, r.mrr) == (pytest.approx(dcg / best, abs=1e-6), 0.5, pytest.approx(2 / 28, abs=1e-6), pytest.approx(1 / 3, abs=1e-6))
     assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_hub_passes_on_its_best_neighbours_only(spark):
+    """Every query reaches the hub, whose neighbours grow with the graph: what the last hop gives the beam mustn't be all of them."""
+    n = 3000
+    edges = spark.range(n).select(F.format_string("c:%05d", "id").alias("src"), F.lit("derived_from").alias("kind"), F.lit("n:0").alias("dst"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    kinds = ends.select("node", F.split("node", ":")[0].alias("kind"))
+    seeds = spark.range(0, n, 10).select(F.col("id").alias("qid"), F.format_string("c:%05d", "id").alias("node"), F.lit(1.0).alias("score"))
+    got = []
+    size = shuffled(spark, lambda: got.extend(graph.expand(edges, kinds, seeds, max_nodes=12, depth=2, beam=8, max_visited=32).collect()))
+    assert size < 2_000_000
+    own = [r.node for r in sorted((r for r in got if r.qid == 10), key=lambda r: r.place)]
+    assert own == ["c:00010", "n:0", *(f"c:{i:05}" for i in range(8))] and len(got) == 10 * n // 10
+
+
+def test_small_code_files_are_dealt_to_all_tasks(spark):
+    files = spark.range(40).select(F.concat(F.lit("f"), F.col("id"), F.lit(".py")).alias("path"), F.lit("def f():\n    pass\n").alias("content")).coalesce(1)
+    out = code.fragments(files)
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and out.filter("kind = 'function'").count() == 40
+
+
+def test_fingerprints_are_made_once(spark, monkeypatch):
+    made, own = [], semantic.fingerprints
+    tried = spark.sparkContext.accumulator(0)
+
+    def noted(passages):
+        made.append(1)
+        return own(passages.mapInPandas(lambda parts: (tried.add(len(p)) or p for p in parts), passages.schema))
+
+    monkeypatch.setattr(semantic, "fingerprints", noted)
+    index = semantic.SemanticIndex(spark, f"{root(spark)}/semantic", lambda t: [[1.0, 0.0] for _ in t], 2, "one")
+    rows = spark.createDataFrame([(f"p{i}", 0, f"i{i}", "", "text") for i in range(20)], "path string, pos int, passage_id string, heading string, text string")
+    assert index.synchronize(rows) == {"reused": 0, "embedded": 20, "removed": 0, "passages": 20}
+    assert made == [1] and tried.value == 20
